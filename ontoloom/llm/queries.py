@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup
+from . import byte_bpe, content_store, exact_dedup, separator_scan
 from .common import documents, prepare
 
 
@@ -20,7 +20,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir))
 
 
+def op7_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return content_store.facts(content_store.write(documents(spark, sf_dir)))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return separator_scan.count_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_token_counts": op6_token_counts,
+    "op7_content_store": op7_content_store,
     "op9_byte_bpe": op9_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
 }
