@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, content_store, exact_dedup, separator_scan
-from .common import documents, prepare
+from . import byte_bpe, content_store, exact_dedup, language_id, separator_scan
+from .common import documents, fold, prepare
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_documents(documents(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = documents(spark, sf_dir)
+    model = language_id.train(docs, F.coalesce(fold(4) != 2, F.lit(False)))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_language_id": op10_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_content_store": op7_content_store,
     "op9_byte_bpe": op9_byte_bpe,

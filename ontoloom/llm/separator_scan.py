@@ -95,7 +95,7 @@ def scan(spark: SparkSession, folder: str, end_id: int = END_ID, dtype: str = DT
     found = materialize(blocks(spark, folder, block_bytes).mapInArrow(run, "file string, block int, stops array<long>, end long"), "stops")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = Window.partitionBy("file").orderBy(F.desc("block"))
-    sums = found.select("file", "block", F.size("stops").cast("long").alias("n"), F.element_at("stops", -1).alias("stop"), "end").select(
+    sums = found.select("file", "block", F.size("stops").cast("long").alias("n"), F.try_element_at("stops", F.lit(-1)).alias("stop"), "end").select(
         "file",
         "block",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("docs_before"),
@@ -104,7 +104,7 @@ def scan(spark: SparkSession, folder: str, end_id: int = END_ID, dtype: str = DT
     )
     stitched = found.join(sums, ["file", "block"])
     # a file's last block may leave ids behind its last separator
-    tail = F.col("is_last") & (F.col("end") > F.coalesce(F.element_at("stops", -1), F.col("stop_before")) + 1)
+    tail = F.col("is_last") & (F.col("end") > F.coalesce(F.try_element_at("stops", F.lit(-1)), F.col("stop_before")) + 1)
     stops = F.when(tail, F.concat("stops", F.array("end"))).otherwise(F.col("stops"))
     begins = F.concat(F.array(F.col("stop_before") + 1), F.transform("stops", lambda x: x + 1))
     docs = stitched.select("file", "docs_before", begins.alias("begins"), F.size("stops").alias("n"), F.posexplode(stops).alias("k", "stop"))
