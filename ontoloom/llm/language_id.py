@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import Cache
+from .common import materialize
 
 #: Bounds of training: documents of a language (expected; a hash of the id decides), words of a language.
 MAX_DOCS, MAX_WORDS = 1500, 30_000
@@ -103,7 +104,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000)
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     counts: dict[str, dict[str, int]] = {k: {} for k in langs}
-    n = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    n = materialize(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "words")
     for k in langs:  # at most max_words rows of each language reach the driver
         for r in n.filter(F.col("lang") == k).orderBy(F.desc("n"), "word").limit(max_words).collect():
             counts[k][r.word] = r.n
