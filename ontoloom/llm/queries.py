@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, content_store, exact_dedup, language_id, separator_scan
+from . import byte_bpe, content_store, exact_dedup, language_id, secret_scan, separator_scan
 from .common import documents, fold, prepare
 
 
@@ -39,7 +39,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = documents(spark, sf_dir)
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.learn(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_scan": op3_secret_scan,
     "op10_language_id": op10_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_content_store": op7_content_store,
