@@ -221,6 +221,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = materialize(small.filter("u <> v").distinct(), "stars")
+        # the checksum is one row
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
@@ -235,6 +236,55 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "near")
 
 
+def _queries(dense: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between residual classes of dense regions and all members of those regions.
+
+    Residual are the classes outside their region's largest component. They meet the region in blocks of
+    QUERIES classes on either side, and only confirmed links come out.
+    """
+    lab = labels.select("id", "component")
+    member = dense.join(full.select("id"), "id").join(lab, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    member = materialize(member, "members")
+    sizes = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("total"))
+    marked = member.join(main, "key").withColumn("residual", F.col("component") != F.col("main"))
+    odd = marked.groupBy("key").agg(F.count_if("residual").alias("odd")).filter("odd > 0")
+    placed = marked.join(odd, "key").join(full, "id")
+    spread = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(n / QUERIES))
+    item = F.collect_list(F.struct("id", "component", "hashes"))
+    asked = placed.filter("residual").withColumn("block", spread(F.col("odd"))).groupBy("key", "block").agg(item.alias("asked"))
+    held = placed.withColumn("part", spread(F.col("total"))).groupBy("key", "part").agg(item.alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b["asked"], b["held"], strict=True):
+                left, right, found = x.as_py(), y.as_py(), set()
+                sets_ = [np.frombuffer(m["hashes"], np.uint64) for m in left]
+                sizes_ = np.array([len(v) for v in sets_])
+                owner = np.repeat(np.arange(len(sets_)), sizes_)
+                order = np.argsort(np.concatenate(sets_), kind="stable")
+                words, owner = np.concatenate(sets_)[order], owner[order]
+                for m in right:
+                    h = np.frombuffer(m["hashes"], np.uint64)
+                    lo, hi = np.searchsorted(words, h, "left"), np.searchsorted(words, h, "right")
+                    n = hi - lo
+                    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    both = np.bincount(owner[at], minlength=len(left))
+                    for i in np.flatnonzero(100 * both >= percent * (sizes_ + len(h) - both)).tolist():
+                        if left[i]["component"] != m["component"]:
+                            found.add((min(left[i]["id"], m["id"]), max(left[i]["id"], m["id"])))
+                pairs = sorted(found)
+                yield pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+    return asked.join(held, "key").select("asked", "held").mapInArrow(run, "a long, b long").distinct()
+
+
+def _grown(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Components after more links: the old ones enter as stars."""
+    stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return components(stars.unionByName(new.select("a", "b")))
+
+
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(id, component) of all classes that are linked with another."""
     pairs, dense = _candidates(classes)
@@ -244,12 +294,11 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     sides = pairs.select("a", "b", "near", F.explode(F.array("a", "b")).alias("side"))
     rank = F.row_number().over(Window.partitionBy("side").orderBy(F.desc("near"), "a", "b"))
     first = sides.withColumn("r", rank).filter(F.col("r") <= NEAREST).select("a", "b").distinct()
-    edges = materialize(_confirm(first, full, percent), "links")
-    labels = materialize(components(edges), "labels")
-    rest = materialize(_between(pairs.join(first, ["a", "b"], "left_anti"), labels), "between")
-    more = materialize(_confirm(rest, full, percent), "links")
-    edges = edges.unionByName(more)
-    return materialize(components(edges), "labels")
+    labels = components(materialize(_confirm(first, full, percent), "links"))
+    rest = materialize(_between(pairs, labels).join(first, ["a", "b"], "left_anti"), "between")
+    labels = _grown(labels, materialize(_confirm(rest, full, percent), "links"))
+    more = materialize(_queries(dense, labels, full, percent), "links")
+    return _grown(labels, more) if more.limit(1).count() else labels
 
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, content_store, exact_dedup, language_id, secret_scan, separator_scan
+from . import byte_bpe, content_store, exact_dedup, language_id, near_dedup, secret_scan, separator_scan
 from .common import documents, fold, prepare
 
 
@@ -45,7 +45,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, secret_scan.learn(docs)))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_dedup.dedup(documents(spark, sf_dir), size=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_near_dedup": op5_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op10_language_id": op10_language_id,
     "op6_token_counts": op6_token_counts,
