@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, content_store, exact_dedup, language_id, near_dedup, secret_scan, separator_scan
+from . import byte_bpe, content_store, exact_dedup, language_id, near_dedup, secret_scan, separator_scan, toxicity
 from .common import documents, fold, prepare
 
 
@@ -50,7 +50,16 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup(documents(spark, sf_dir), size=4, percent=80)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, F.coalesce(fold(5) != 0, F.lit(False)))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op10_language_id": op10_language_id,
