@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, content_store, exact_dedup, language_id, near_dedup, secret_scan, separator_scan, toxicity
+from . import byte_bpe, content_store, exact_dedup, language_id, line_crf, near_dedup, secret_scan, separator_scan, toxicity
 from .common import documents, fold, prepare
 
 
@@ -58,7 +58,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = line_crf.train(docs, labels, F.coalesce(fold(3) != 1, F.lit(False)))
+    out = line_crf.score(docs, model)
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_crf": op2_line_crf,
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
     "op3_secret_scan": op3_secret_scan,
