@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, content_store, exact_dedup, language_id, line_crf, near_dedup, secret_scan, separator_scan, toxicity
+from . import byte_bpe, content_store, decontaminate, exact_dedup, language_id, line_crf, near_dedup, secret_scan, separator_scan, toxicity
 from .common import documents, fold, prepare
 
 
@@ -66,7 +66,13 @@ def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_line_crf": op2_line_crf,
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
