@@ -225,15 +225,20 @@ def codec(ranks_path: str = DEFAULT_RANKS, pattern: str = DEFAULT_PATTERN) -> Co
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = DEFAULT_RANKS, pattern: str = DEFAULT_PATTERN) -> DataFrame:
-    """(doc_id, ids binary, n_tokens): one row per row of docs, without a shuffle."""
+    """(doc_id, ids binary, n_tokens, round_trip): one row per row of docs, without a shuffle.
+
+    round_trip says whether the decoded ids are the text's bytes again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for b in batches:
-            ids = [c.encode(t.as_py()) for t in b["text"]]
-            yield pa.record_batch([b["doc_id"], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+            texts = b["text"].to_pylist()
+            ids = [c.encode(t) for t in texts]
+            same = [c.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+            yield pa.record_batch([b["doc_id"], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {_kind(docs, id_col)}, ids binary, n_tokens long")
+    return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {_kind(docs, id_col)}, ids binary, n_tokens long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, ranks_path: str = DEFAULT_RANKS, pattern: str = DEFAULT_PATTERN) -> DataFrame:

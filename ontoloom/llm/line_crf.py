@@ -259,3 +259,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double, bad_share double")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least the threshold; they are filtered where they lie."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b[text_col].to_pylist()]
+            on = [np.zeros(0, bool)] + [sent.value.score(featurise(group)) >= threshold for group in _groups(texts)]
+            yield b.filter(pa.array(np.concatenate(on)))
+
+    return docs.mapInArrow(run, docs.schema)
