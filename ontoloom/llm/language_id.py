@@ -53,8 +53,9 @@ class Model:
         """Add-a-half frequencies, relative to the mean over the languages: a unit that tells nothing adds nothing."""
         units = sorted(set().union(*counts.values())) if counts else []
         m = np.array([[counts[k].get(u, 0) for k in self.langs] for u in units], float).reshape(len(units), len(self.langs)) + 0.5
-        m = np.log(m / m.sum(0)) if units else m
-        m -= m.mean(1, keepdims=True)
+        if units:
+            m = np.log(m / m.sum(0))
+            m -= m.mean(1, keepdims=True)
         return dict(zip(units, map(tuple, m.tolist()), strict=True))
 
     def unseen(self, word: str) -> tuple[float, ...]:
