@@ -30,7 +30,7 @@ from .labelled import Isotonic, sample
 #: Bounds of training: documents of a class (expected), rounds of relabelling, steps of the optimiser in a round.
 PER_CLASS, ROUNDS, STEPS = 1500, 3, 120
 #: Texts are featurised together up to so many bytes (or one text alone).
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 #: Standardised features are held within this range; good bytes that every document is given.
 RANGE, PRIOR_BYTES = 4.0, 16
 _CLASSES = np.zeros(256, np.int64)  # others: control and rare signs
@@ -104,13 +104,20 @@ def featurise(texts: list[str]) -> Lines:
     return Lines(x[keep], size[keep], doc[keep], len(texts))
 
 
+def joined(parts: list[Lines]) -> Lines:
+    """Lines of several groups of documents as those of one."""
+    first = np.cumsum([0, *(p.n_docs for p in parts)])
+    doc = np.concatenate([p.doc + k for p, k in zip(parts, first, strict=False)])
+    return Lines(np.concatenate([p.x for p in parts]), np.concatenate([p.length for p in parts]), doc, int(first[-1]))
+
+
 def with_neighbours(lines: Lines) -> np.ndarray:
     """Features of a line, of the lines before and after it in its document (0 beyond its ends), and 1."""
-    x, same = lines.x, lines.doc[1:] == lines.doc[:-1]
+    x, same = lines.x.astype(np.float32), lines.doc[1:] == lines.doc[:-1]
     before, after = np.zeros_like(x), np.zeros_like(x)
     before[1:][same] = x[:-1][same]
     after[:-1][same] = x[1:][same]
-    return np.hstack([x, before, after, np.ones((len(x), 1))])
+    return np.hstack([x, before, after, np.ones((len(x), 1), np.float32)])
 
 
 def marginals(u: np.ndarray, doc: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +187,9 @@ def aggregate(p: np.ndarray, lines: Lines) -> np.ndarray:
 
 def fit(texts: list[str], y: np.ndarray, w: np.ndarray) -> Model:
     """y: 1 for good documents; w: weights of documents."""
-    lines = featurise(texts)
+    lines = joined([featurise(g) for g in _groups(texts)])
     x = with_neighbours(lines)
-    mean, scale = x.mean(0), x.std(0)
+    mean, scale = x.mean(0, dtype=float).astype(np.float32), x.std(0, dtype=float).astype(np.float32)
     mean[-1], scale[-1] = 0, 1
     scale[scale < 1e-9] = 1
     x = np.clip((x - mean) / scale, -RANGE, RANGE)
@@ -216,13 +223,13 @@ def fit(texts: list[str], y: np.ndarray, w: np.ndarray) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 24 << 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 8 << 20) -> Model:
     """Fit on a bounded sample; the driver holds at most max_bytes of texts (whole texts, picked by a hash of the id)."""
     rows, weights = sample(docs, labels, label_col, learn, per_class, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = min(1.0, max_bytes / max(size, 1))
     picked = rows.filter((F.octet_length("text") <= max_bytes // 8) & (F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(1_000_000)) < share * 1_000_000))
-    got = sorted((r.doc_id, r.y, r.text) for r in picked.collect())
+    got = sorted((r.doc_id, r.y, r.text) for r in picked.toLocalIterator())
     if not got:
         z = np.zeros(3 * N_FEATURES + 1)
         return Model(z, z + 1, z, np.zeros((2, 2)), np.array([0.7, 0.3]), Isotonic(np.zeros(0), np.zeros(0), np.zeros(0)))
