@@ -579,3 +579,50 @@ def taxonomy_clone(spark, sf):
     n = t(spark, sf, "nation").select(F.col("n_name").alias("concept"), F.col("n_regionkey").cast("string").alias("label"))
     empty = spark.createDataFrame([], "concept string, relation string, other string")
     return rdf.taxonomy_clones(n, n, empty)[0]
+
+
+# --- files read and written
+
+
+_OWL = (
+    '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:o="http://www.geneontology.org/formats/oboInOwl#">'
+    '<owl:Class rdf:about="N%d"><rdfs:label>%s</rdfs:label><rdfs:subClassOf rdf:resource="R%d"/><o:hasExactSynonym> Synonym %d </o:hasExactSynonym></owl:Class></rdf:RDF>'
+)
+
+
+def _triples(spark, sf) -> DataFrame:
+    """Every nation as an ontology document."""
+    return rdf.triples_of(t(spark, sf, "nation").select(F.col("n_name").alias("path"), F.format_string(_OWL, "n_nationkey", "n_name", "n_regionkey", "n_nationkey").alias("content")))
+
+
+@query("SELECT 'N' || n_nationkey AS concept, lower(n_name) || '|synonym ' || n_nationkey AS labels FROM nation")
+def rdf_labels(spark, sf):
+    return rdf.labels(_triples(spark, sf)).select("concept", F.array_join("labels", "|").alias("labels"))
+
+
+@query("SELECT 'N' || n_nationkey AS child, 'broader' AS predicate, 'R' || n_regionkey AS parent FROM nation")
+def rdf_hierarchy(spark, sf):
+    return rdf.hierarchy(_triples(spark, sf))
+
+
+def _tables(spark, sf) -> DataFrame:
+    """The report of _predictions, written as LaTeX."""
+    report = R.report_dict(R.classification_report(_predictions(spark, sf)))
+    return R.parse_tables(spark.createDataFrame([("report", R.latex_table(report, "max negatives = 2, cosine similarity > 0.3"))], "path string, value string"))
+
+
+@query(_REPORT.format(by="0") + """SELECT 2 AS max_negatives, 0.3::DOUBLE AS cosine_similarity, replace(label, 'macro avg', 'macro-avg') AS label, round(pr, 2) AS precision, round(re, 2) AS recall, round(f1, 2) AS f1_score, support FROM w
+ UNION ALL SELECT 2, 0.3, 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 2), sum(support) FROM f""")
+def report_parse(spark, sf):
+    return _tables(spark, sf).select("max_negatives", "cosine_similarity", F.inline("rows"))
+
+
+@query()
+def report_metrics(spark, sf):
+    return R.long_metrics(_tables(spark, sf))
+
+
+@query("SELECT o_orderkey, CAST('0x' || substr(md5(concat_ws('#', o_orderkey, 42)), 1, 8) AS BIGINT) % 100 < 80 AS train FROM orders")
+def train_test_split(spark, sf):
+    train, test = L.hash_split(t(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    return train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))

@@ -5,7 +5,6 @@ A graph is a set: triples are distinct, and `ord` is the place of the first occu
 
 from __future__ import annotations
 
-import io
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -95,19 +94,23 @@ def parse(text: str | bytes, graph: str) -> Iterator[tuple]:
         yield from node(e, s, base, root.get(f"{{{iri.XML}}}lang"))
 
 
-def read_rdf_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of all RDF/XML files of a path, a file a task; graph is the file's path."""
+def triples_of(texts: DataFrame) -> DataFrame:
+    """Triples of RDF/XML documents in texts(path, content); the graph is the path."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in TRIPLES.split(", ")]
         for b in batches:
             for p, content in zip(b["path"], b["content"], strict=True):
-                rows = list(parse(io.BytesIO(content).getvalue(), p))
+                rows = list(parse(content if isinstance(content, str) else bytes(content), p))
                 for k in range(0, len(rows), 50_000):
                     yield pd.DataFrame(rows[k : k + 50_000], columns=names)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return as_set(files.mapInPandas(run, TRIPLES))
+    return as_set(texts.select("path", "content").mapInPandas(run, TRIPLES))
+
+
+def read_rdf_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Triples of all RDF/XML files of a path, a file a task."""
+    return triples_of(spark.read.format("binaryFile").load(path))
 
 
 def read_owl_classes(spark: SparkSession, path: str) -> DataFrame:
