@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from .hierarchy import siblings
+from .storage import first_rows, written
 
 
 def sample_key(*cols: str, seed: int) -> Column:
@@ -91,8 +92,6 @@ def pairs_with_negatives(reference: DataFrame, source: DataFrame, target: DataFr
 
 def hop_negatives(reference: DataFrame, edges: DataFrame, max_hops: int = 5, n: int = 50, seed: int = 42) -> DataFrame:
     """S9 (without its tokenizer): for each positive, at most n concepts within max_hops of its target, edges taken either way."""
-    from .storage import written
-
     both = edges.select("child", "parent").unionByName(edges.select(F.col("parent").alias("child"), F.col("child").alias("parent"))).distinct()
     pos = positives(reference).select("src", F.col("tgt").alias("true_tgt")).distinct()
     seen = frontier = written(pos.select("true_tgt", F.col("true_tgt").alias("tgt")).distinct(), "hops")
@@ -113,9 +112,10 @@ def label_pairs(pairs: DataFrame, matches: DataFrame) -> DataFrame:
 def downsampled(pairs: DataFrame, max_neg_per_pos: float = 2, seed: int = 42) -> DataFrame:
     """All positives, and at most max_neg_per_pos times as many negatives; pairs come in string order."""
     a, b = X.unordered(F.col("src"), F.col("tgt"))
-    p = pairs.select(a.alias("src"), b.alias("tgt"), "label")
+    p = written(pairs.select(a.alias("src"), b.alias("tgt"), "label"), "pairs")
     n = round(max_neg_per_pos * p.filter("label = 1").count())
-    return p.filter("label = 1").unionByName(p.filter("label = 0").orderBy(sample_key("src", "tgt", seed=seed), "src", "tgt").limit(n))
+    drawn = first_rows(p.filter("label = 0").withColumn("key_", sample_key("src", "tgt", seed=seed)), n, "key_", "src", "tgt")
+    return p.filter("label = 1").unionByName(drawn.drop("key_"))
 
 
 def topk_cosine(source: DataFrame, target: DataFrame, k: int, block: int = 4096, digits: int = 6) -> DataFrame:

@@ -5,10 +5,10 @@ A round of a loop is one join; its table is written to the shared folder, and on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import first_rows, written
 
 
 class CycleError(ValueError):
@@ -174,13 +174,12 @@ def negative_edges(node_ids: DataFrame, edges: DataFrame, seed: int = 42, oversa
     at = lambda side, name: numbered.select(F.col("node").alias(name), F.col("idx").alias(side))
     drawn = draw.select(F.pmod("i", F.lit(n)).alias("i"), F.pmod("j", F.lit(n)).alias("j")).filter("i <> j").distinct().join(at("i", "src"), "i").join(at("j", "dst"), "j").select("src", "dst")
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    return drawn.join(both, ["src", "dst"], "left_anti").orderBy(F.md5(F.concat_ws("#", "src", "dst", F.lit(seed))), "src", "dst").limit(m)
+    free = drawn.join(both, ["src", "dst"], "left_anti").distinct().withColumn("key_", F.md5(F.concat_ws("#", "src", "dst", F.lit(seed))))
+    return first_rows(free, m, "key_", "src", "dst").drop("key_")
 
 
 def numbered_nodes(node_ids: DataFrame) -> DataFrame:
     """(node, idx) from 0 in the order of node; by range partitions, so no task sorts all of them."""
-    from pyspark.sql import Window
-
     cut = written(node_ids.select("node").distinct().repartitionByRange("node").withColumn("part", F.spark_partition_id()), "parts")
     sizes = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))  # a row for each partition

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -14,3 +15,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in the order of some columns, by range partitions: no task and no driver gets them all."""
+    cut = written(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))  # a row for each partition
+    rank = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
+    return cut.join(F.broadcast(before), "part_").filter(F.col("before_") < n).withColumn("rank_", F.col("before_") + rank).filter(F.col("rank_") <= n).select(df.columns)
