@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Used only where the session names no shared folder, as in local tests.
@@ -52,3 +57,41 @@ def fold(n: int, id_col: str = "doc_id"):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Bits of an id filter, whatever the number of ids (8 MB), and of one of its shards.
+FILTER_BITS, SHARD_BITS = 1 << 26, 1 << 16
+
+
+def id_filter(ids: DataFrame) -> Column:
+    """A condition on doc_id that holds for all ids(id long), and for few others as long as ids are far fewer than FILTER_BITS.
+
+    It is a bitmap of fixed size over hashes, made in shards; rows that can't match are left where they lie
+    instead of being shuffled to a join, which must still follow.
+    """
+    place = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(FILTER_BITS))
+    bits = ids.select(place.alias("bit")).distinct().select(F.floor(F.col("bit") / SHARD_BITS).cast("int").alias("shard"), F.pmod("bit", F.lit(SHARD_BITS)).cast("int").alias("bit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            maps = []
+            for places in b["bits"]:
+                m = np.zeros(SHARD_BITS, bool)
+                m[places.values.to_numpy(zero_copy_only=False)] = True
+                maps.append(np.packbits(m).tobytes())
+            yield pa.record_batch([b["shard"], pa.array(maps, pa.binary())], ["shard", "map"])
+
+    # SHARD_BITS places at most in a list, FILTER_BITS / 8 bytes at most in all
+    shards = bits.groupBy("shard").agg(F.collect_list("bit").alias("bits")).mapInArrow(run, "shard int, map binary")
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in shards.toLocalIterator():
+        at = r["shard"] * SHARD_BITS // 8
+        whole[at : at + SHARD_BITS // 8] = np.frombuffer(r["map"], np.uint8)
+    sent = ids.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf(T.BooleanType())
+    def held(bit: pd.Series) -> pd.Series:
+        k = bit.to_numpy(np.int64, na_value=0)
+        return pd.Series((sent.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return held(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(FILTER_BITS)))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import id_filter, id_text, materialize
 
 TREES, DEPTH, FIRST = 16, 6, 3
 CLOSED, BLOCK = 32, 512
@@ -161,13 +161,17 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         big = members.filter(F.col("n") > CLOSED)
         if depth in (FIRST, DEPTH):
             cut = big.withColumn("block", F.pmod(F.xxhash64("id", "tree", F.lit(depth)), F.ceil(F.col("n") / BLOCK)))
-            blocks = cut.join(bits, "id").groupBy("key", "block").agg(F.collect_list(F.struct("id", "bits")).alias("members")).filter(F.size("members") > 1)
+            # a class meets its signature once, not once for each tree
+            once = cut.groupBy("id").agg(F.collect_list(F.struct("key", "block")).alias("places")).join(bits, "id")
+            placed = once.select("id", "bits", F.inline("places"))
+            blocks = placed.groupBy("key", "block").agg(F.collect_list(F.struct("id", "bits")).alias("members")).filter(F.size("members") > 1)
             found.append(_pairs_of_blocks(blocks, every=False))
         if depth == FIRST:
             dense = big.select("id", "key")
         if big.limit(1).count() == 0:
             break
-        rows = big.select("id", "tree").join(classes.select("id", "sketch"), "id")
+        trees = big.groupBy("id").agg(F.collect_list("tree").alias("trees")).join(classes.select("id", "sketch"), "id")
+        rows = trees.select("id", "sketch", F.explode("trees").alias("tree"))
     pairs = found[0]
     for p in found[1:]:
         pairs = pairs.unionByName(p)
@@ -181,7 +185,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b["doc_id"], pa.array([shingles(t.as_py(), size).tobytes() for t in b["text"]], pa.binary())], ["id", "hashes"])
 
-    wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    wanted = docs.filter(id_filter(ids)).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     return wanted.mapInArrow(run, "id long, hashes binary")
 
 
