@@ -2,9 +2,10 @@
 
 Items are indexed in segments. Every passage of every document (PASSAGE words, at strides of half that) is a
 query; an impact is a BM25 term score divided by the segment's score for itself, so 1 is a passage with the whole
-segment and one threshold fits all. The sum of the greatest impacts of a passage's terms bounds its score;
-vectorised prefix sums leave only passages that can reach the threshold, and these are searched by WAND: a
-pivot, a test of the block maxima, then full scores. Hits are verified on words: the shares of the distinct
+segment and one threshold fits all. Block maxima work twice: the sums of the greatest impacts of a passage's
+distinct terms within each of GROUPS groups of segments bound its scores, and vectorised sums of these leave only
+passages, each with the groups in which it can reach the threshold; there they are searched by WAND: a pivot, a test
+of the blocks' maxima at the pivot, then full scores. Hits are verified on words: the shares of the distinct
 SHINGLE-word shingles of the item's question and of its answer that the document has around the passage.
 
 The index is sent to the workers in shards of at most MAX_INDEX_BYTES of item text, one after the other, so
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,10 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import id_text
 
-PASSAGE, SEGMENT, SHINGLE = 64, 48, 5
+#: Words of a passage, of a segment at most, and of a shingle. A segment is half a passage, as is the stride, so
+#: some passage holds a segment as a whole.
+PASSAGE, SEGMENT, SHINGLE = 64, 32, 5
 #: Least BM25 score, as a share of the segment's own, and least share of shingles of either part.
 THRESHOLD, OVERLAP = 0.5, 0.8
-K1, B, BLOCK = 1.2, 0.75, 16
+#: Postings of a block; groups of segments whose greatest impacts are held by term for the vectorised bound.
+K1, B, BLOCK, GROUPS = 1.2, 0.75, 16, 64
 MAX_INDEX_BYTES = 32 << 20
 WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -85,21 +90,27 @@ class Index:
         self.ordinals = [[o for o, _ in p] for p in lists]
         self.impacts = [[v for _, v in p] for p in lists]
         self.block_max = [[max(p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in self.impacts]
-        self.bound = np.array([*(max(p) for p in self.impacts), 0.0])  # the last is for words of no item
-
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All segments (by ordinal) whose score for the distinct terms is at least the threshold, with the score."""
+        self.bound = [max(p) for p in self.impacts]
+        self.group_max = np.zeros((len(lists) + 1, GROUPS), np.float32)  # the last row is for words of no item
+        self.group_size = max(1, -(-len(segments) // GROUPS))
+        for k, p in enumerate(lists):
+            for o, v in p:
+                g = o // self.group_size
+                self.group_max[k, g] = max(self.group_max[k, g], v)
+
+    def search(self, terms: list[int], threshold: float, first: int = 0, end: int = 1 << 60) -> list[tuple[int, float]]:
+        """All segments with ordinals in [first, end) whose score for the distinct terms is at least the threshold, with the score."""
         least, found, bound = threshold - 1e-9, [], self.bound
-        cursors = [[self.ordinals[t][0], 0, t] for t in terms]
+        cursors = [[p[k], k, t] for t in terms if (k := bisect_left(p := self.ordinals[t], first)) < len(p) and p[k] < end]
 
         def move(c: list[int], to: int) -> None:
             """To the first posting at or behind `to`; whole blocks before it are skipped."""
             places, at = self.ordinals[c[2]], c[1]
             while at < len(places) and places[at] < to:
-                end = min(at - at % BLOCK + BLOCK, len(places))
-                at = end if places[end - 1] < to else at + 1
+                stop = min(at - at % BLOCK + BLOCK, len(places))
+                at = stop if places[stop - 1] < to else at + 1
             c[1] = at
-            c[0] = places[at] if at < len(places) else -1
+            c[0] = places[at] if at < len(places) and places[at] < end else -1
 
         while cursors:
             cursors.sort()
@@ -139,6 +150,34 @@ class Index:
             cursors = [c for c in cursors if c[0] >= 0]
         return found
 
+    def _promising(self, ids: np.ndarray, threshold: float) -> list[list[int]]:
+        """[passage, group] where the bound reaches the threshold; passage k begins at word k * SEGMENT.
+
+        A term counts once in a passage: where its last occurrence lies before the passage's begin.
+        """
+        at = np.flatnonzero(ids < len(self.terms))
+        if not len(at):
+            return []
+        known = ids[at]
+        order = np.argsort(known, kind="stable")
+        last = np.full(len(at), -1)
+        same = known[order][1:] == known[order][:-1]
+        last[order[1:][same]] = at[order[:-1][same]]
+        part = at // SEGMENT
+        n = int(part[-1]) + 1
+        sums = []
+        for back in (0, 1):  # as the first half of a passage, and as the second
+            on = last < (part - back) * SEGMENT
+            rows = np.zeros((n, GROUPS), np.float32)
+            p = part[on]
+            if len(p):
+                firsts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+                rows[p[firsts]] = np.add.reduceat(self.group_max[known[on]], firsts, axis=0)
+            sums.append(rows)
+        bound = sums[0]
+        bound[:-1] += sums[1][1:]
+        return np.argwhere(bound >= threshold - 1e-4).tolist()
+
     def hits(self, text: str, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, float, float, float]]:
         """(item_id, score, question_overlap, answer_overlap) of the items that a document holds."""
         words = WORD.findall(text.lower())
@@ -147,14 +186,11 @@ class Index:
             return []
         get, none = self.terms.get, len(self.terms)
         ids = np.fromiter((get(w, none) for w in words), np.int64, n)
-        sums = np.concatenate([[0.0], np.cumsum(self.bound[ids])])
-        starts = np.arange(0, max(1, n - PASSAGE // 2), PASSAGE // 2)
-        stops = np.minimum(starts + PASSAGE, n)
         best: dict[int, tuple[float, float, float]] = {}
-        for k in np.flatnonzero(sums[stops] - sums[starts] >= threshold - 1e-6).tolist():
-            a, b = int(starts[k]), int(stops[k])
+        for k, g in self._promising(ids, threshold):
+            a, b = k * SEGMENT, min(k * SEGMENT + PASSAGE, n)
             terms = sorted({*ids[a:b].tolist()} - {none})
-            for ordinal, score in self.search(terms, threshold):
+            for ordinal, score in self.search(terms, threshold, g * self.group_size, (g + 1) * self.group_size):
                 i = self.segment_item[ordinal]
                 if i in best and best[i][0] >= score:
                     continue
