@@ -140,8 +140,8 @@ def neighbour_negatives(spark, sf):
     return C.neighbour_negatives(B.reference(spark, sf), B.edges(spark, sf))
 
 
-def _labeled(spark, sf) -> DataFrame:
-    return C.pairs_with_negatives(B.reference(spark, sf), B.source(spark, sf), B.target(spark, sf), B.edges(spark, sf))
+def _labeled(spark, sf, seed: int = 42) -> DataFrame:
+    return C.pairs_with_negatives(B.reference(spark, sf), B.source(spark, sf), B.target(spark, sf), B.edges(spark, sf), seed=seed)
 
 
 @query(_LABELED + "SELECT * FROM labeled")
@@ -316,9 +316,9 @@ _ABLATED = f"""(l1 = l2)::INT AS exact_match, round(n / (len(t1) + len(t2) - n),
  abs(d1 - d2)::INT AS depth_diff, round(abs(d1 / m.s - d2 / m.t), 6) AS norm_depth_diff, round(len(list_intersect(a1, a2)) / len(list_distinct(a1 || a2)), 6) AS ancestor_jaccard, label FROM f, m"""
 
 
-def _features(spark, sf, **options) -> DataFrame:
+def _features(spark, sf, seed: int = 42, **options) -> DataFrame:
     s, g = B.source(spark, sf), B.target(spark, sf)
-    return E.pair_features(_labeled(spark, sf), s, g, C.merge_labels(s, g), B.vectors(spark, sf), B.edges(spark, sf), **options)
+    return E.pair_features(_labeled(spark, sf, seed), s, g, C.merge_labels(s, g), B.vectors(spark, sf), B.edges(spark, sf), **options)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -413,10 +413,11 @@ def soft_vote(spark, sf):
     return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", r6(score, "score"), (F.round(score, 9) > 0.5).cast("int").alias("prediction"))
 
 
-def _splits(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _splits(spark, sf, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The seed draws the negatives; a pair is on the same side for every seed."""
     from ..operators.storage import written
 
-    return L.hash_split(written(_features(spark, sf), "features"), "src", "tgt")
+    return L.hash_split(written(_features(spark, sf, seed), "features"), "src", "tgt")
 
 
 FEATURES = ["shared_tokens", "token_ratio_c1", "token_ratio_c2", "exact_match", "jaccard", "cosine", "levenshtein", "partial_match", "depth_diff", "norm_depth_diff", "ancestor_jaccard"]
@@ -424,8 +425,7 @@ FEATURES = ["shared_tokens", "token_ratio_c1", "token_ratio_c2", "exact_match",
 
 @query()
 def ensemble_sweep(spark, sf):
-    train, test = _splits(spark, sf)
-    return L.sweep([(42, train, test)], FEATURES, ((1, 1, 1), (1, 2, 2)), trees=20)
+    return L.sweep([(seed, *_splits(spark, sf, seed)) for seed in L.SEEDS], FEATURES, L.WEIGHTS)
 
 
 @query()
