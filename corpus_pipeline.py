@@ -6,15 +6,16 @@ near_dedup:     of a component of near-duplicates (five-word shingles, similarit
 decontaminate:  documents that hold a benchmark item are dropped
 byte_bpe:       what is left is encoded, decoded and compared
 
-All stages but the last return the columns of documents. Documents with a null doc_id can't be told apart and
-don't pass the deduplicating stages; null texts count as empty ones.
+All stages but the last return the columns of documents. The deduplicating stages decide on rows, not on ids: a
+null doc_id comes after all others, of rows that repeat both doc_id and text one stays, and rows that repeat a
+doc_id under different texts are documents of their own. Null texts count as empty ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ontoloom.llm import byte_bpe, common, decontaminate, exact_dedup, line_crf, near_dedup
@@ -27,16 +28,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_crf.keep(docs, model)
 
 
+def _row_key(sha256: Column) -> Column:
+    """What tells rows apart: the text's digest and the id, which is left out where it is null."""
+    return F.concat_ws("#", sha256, F.col("doc_id").cast("string"))
+
+
+def _text_sha256() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
-    kept = exact_dedup.dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    kept = exact_dedup.dedup(docs).filter("kept").select(_row_key(F.col("text_sha256")).alias("key_"))
+    passed = docs.withColumn("key_", _row_key(_text_sha256())).join(kept, "key_", "left_semi")
+    others = F.xxhash64(*(c for c in docs.columns if c not in ("doc_id", "text")))
+    first = F.row_number().over(Window.partitionBy("key_").orderBy(others))  # dealt by the join's key already
+    return passed.withColumn("row_", first).filter("row_ = 1").select(docs.columns)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with row_, a number of the row's own, in the order of doc_id with nulls last."""
+    order = (F.col("doc_id").asc_nulls_last(), F.col("sha_").asc())
+    dealt = docs.withColumn("sha_", _text_sha256()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return common.materialize(dealt.drop("sha_").withColumn("row_", F.monotonically_increasing_id()), "numbered")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
-    kept = near_dedup.dedup(docs, size=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    columns = docs.columns
+    awkward = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
+    docs = docs.withColumn("row_", F.col("doc_id")) if awkward.isEmpty() else _numbered(docs)
+    kept = near_dedup.dedup(docs, size=5, percent=80, id_col="row_").filter("kept").select(F.col("doc_id").alias("row_"))
+    return docs.join(kept, "row_", "left_semi").select(columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

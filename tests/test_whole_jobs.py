@@ -2,6 +2,7 @@
 
 import pytest
 
+import corpus_pipeline as cp
 from ontoloom.operators import learning as L
 from ontoloom.plans import catalog
 
@@ -21,3 +22,20 @@ def test_sweep_is_the_mean_over_seeds(spark):
     report = lambda s: {(r.weights, r.label, r.metric): r.value for r in L.sweep(s, ["a", "b"], ((1, 1, 1), (2, 1, 2)), trees=3).collect()}
     both, one, two = report(splits), report(splits[:1]), report(splits[1:])
     assert len(both) == 2 * 17 and both == pytest.approx({k: (one[k] + two[k]) / 2 for k in both})
+
+
+def test_deduplicating_stages_decide_on_rows(spark, sf):
+    word = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    data = [
+        (None, word(1)), (None, word(1)), (None, word(2)), (None, None), (None, ""),  # nulls: one of each text stays
+        (7, word(3)), (7, word(3)), (7, word(4)),  # a repeated row, and its id under another text
+        (3, word(4) + " end"), (9, word(5)), (None, word(5)), (8, word(5)),  # 7's second text is near to 3's; 9 wins over a null and 8
+        (None, word(1) + " end"),  # near to another null's
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    rows = lambda df: sorted(((r.doc_id, r.text or "") for r in df.collect()), key=str)
+    once = cp.common.materialize(cp.exact(spark, docs, sf), "exact")
+    want = [(None, word(1)), (None, word(2)), (None, ""), (7, word(3)), (7, word(4)), (3, word(4) + " end"), (9, word(5)), (None, word(1) + " end")]
+    assert once.columns == docs.columns and rows(once) == sorted(want, key=str)
+    got = rows(cp.near(spark, once, sf))
+    assert len(got) == 6 and {(None, word(2)), (None, ""), (7, word(3)), (3, word(4) + " end"), (9, word(5))} < set(got) and len({(None, word(1)), (None, word(1) + " end")} & set(got)) == 1
