@@ -290,7 +290,7 @@ def negative_edges(spark, sf):
 
 @query()
 def hop_negatives(spark, sf):
-    return C.hop_negatives(B.reference(spark, sf), B.edges(spark, sf), max_hops=3)
+    return C.hop_negatives(B.reference(spark, sf), B.edges(spark, sf))
 
 
 @query("""WITH e AS (SELECT vec_id // 2 AS a, vec_id AS b FROM embeddings), u AS (SELECT a AS u, b AS v FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b UNION SELECT vec_id, vec_id FROM embeddings),

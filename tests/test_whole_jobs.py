@@ -3,7 +3,9 @@
 import pytest
 
 import corpus_pipeline as cp
+from ontoloom.operators import candidates as C
 from ontoloom.operators import learning as L
+from ontoloom.plans import bindings as B
 from ontoloom.plans import catalog
 
 
@@ -39,3 +41,8 @@ def test_deduplicating_stages_decide_on_rows(spark, sf):
     assert once.columns == docs.columns and rows(once) == sorted(want, key=str)
     got = rows(cp.near(spark, once, sf))
     assert len(got) == 6 and {(None, word(2)), (None, ""), (7, word(3)), (3, word(4) + " end"), (9, word(5))} < set(got) and len({(None, word(1)), (None, word(1) + " end")} & set(got)) == 1
+
+
+def test_hop_negatives_reach_beyond_three_hops(spark, sf):
+    near = C.hop_negatives(B.reference(spark, sf), B.edges(spark, sf), max_hops=3, n=1 << 30).select("src", "tgt")
+    assert catalog.QUERIES["hop_negatives"](spark, sf).select("src", "tgt").exceptAll(near).count() > 0
