@@ -469,7 +469,8 @@ def cluster_top_terms(spark, sf):
 
 @query()
 def kmeans(spark, sf):
-    return L.cluster(L.tf_idf(_items(spark, sf)))[0]
+    items = _items(spark, sf)
+    return L.cluster(L.tf_idf(items), ids=items)[0]
 
 
 @query("""WITH d AS (SELECT a.vec_id AS i, a.label AS ci, b.label AS cj, avg(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),

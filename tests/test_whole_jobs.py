@@ -46,3 +46,11 @@ def test_deduplicating_stages_decide_on_rows(spark, sf):
 def test_hop_negatives_reach_beyond_three_hops(spark, sf):
     near = C.hop_negatives(B.reference(spark, sf), B.edges(spark, sf), max_hops=3, n=1 << 30).select("src", "tgt")
     assert catalog.QUERIES["hop_negatives"](spark, sf).select("src", "tgt").exceptAll(near).count() > 0
+
+
+def test_kmeans_labels_rows_without_terms(spark, monkeypatch):
+    texts = ["heart disease", "heart valve", "lung cancer", "lung tumour", "rib bone", "skin rash", None, "", "of the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    monkeypatch.setattr(catalog, "_items", lambda spark, sf: docs)
+    got = {r.id: r.cluster for r in catalog.QUERIES["kmeans"](spark, "").collect()}
+    assert set(got) == set(range(9)) and len({got[6], got[7], got[8]}) == 1
