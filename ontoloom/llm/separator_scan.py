@@ -1,8 +1,9 @@
 """Token counts from flat files of ids that have no index: find end-of-document ids, then stitch the blocks.
 
 A file is read in blocks by byte range. Within a block the separators are found by one vectorised comparison;
-a block's row has the places of its separators. A prefix scan over the blocks of each file gives the number of
-separators and the last of them before the block, which is all that a document that spans blocks needs.
+a block's row has the places of its separators, four bytes each. A prefix scan over the blocks of each file, which
+sees their counts only, gives the number of separators and the last of them before the block. That is all that the
+first document of a block needs; the worker then emits a block's documents in batches of bounded size.
 
 Defined results: a document has the ids before its separator, perhaps none; ids after the last separator of a
 file are an unterminated document (terminated = false), unless there are none; an empty file has no documents.
@@ -30,6 +31,8 @@ DEFAULT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END_ID = 50256
 DTYPE = "<u2"
 FILE_BYTES, BLOCK_BYTES = 256 << 20, 4 << 20
+#: Rows of a batch that a task emits: what it holds of a block's documents at a time.
+EMIT_ROWS = 1 << 15
 
 
 @cache
@@ -61,8 +64,8 @@ def write(docs: DataFrame, folder: str, ranks_path: str = DEFAULT_RANKS, end_id:
     return materialize(id_text(docs, id_col, text_col).mapInArrow(run, f"file string, doc_index long, doc_id {kind}"), "manifest")
 
 
-def blocks(spark: SparkSession, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block, offset, n_bytes) of all files in a folder; only names and sizes are listed."""
+def blocks(spark: SparkSession, folder: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """(file, block, offset, n_bytes) of all files in a folder, and the number of its partitions; only names and sizes are listed."""
     from pyarrow.fs import FileSelector
 
     fs, path = open_fs(folder)
@@ -71,7 +74,7 @@ def blocks(spark: SparkSession, folder: str, block_bytes: int = BLOCK_BYTES) ->
     numbered = files.select("file", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / block_bytes).cast("int"))).alias("block"))
     at = F.col("block").cast("long") * block_bytes
     tasks = max(1, min(100_000, sum(s for _, s in found) // (8 * block_bytes) + 1, len(found) * (1 + FILE_BYTES // block_bytes)))
-    return numbered.select("file", "block", at.alias("offset"), F.least(F.lit(block_bytes), F.col("size") - at).alias("n_bytes")).repartition(tasks, "file", "block")
+    return numbered.select("file", "block", at.alias("offset"), F.least(F.lit(block_bytes), F.col("size") - at).alias("n_bytes")).repartition(tasks, "file", "block"), tasks
 
 
 def scan(spark: SparkSession, folder: str, end_id: int = END_ID, dtype: str = DTYPE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -80,36 +83,47 @@ def scan(spark: SparkSession, folder: str, end_id: int = END_ID, dtype: str = DT
     if block_bytes % width:
         raise ValueError("block_bytes must be a multiple of the ids' width")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_fs(folder)
         for b in batches:
-            stops, ends = [], []
-            for name, at, size in zip(*(b[c].to_pylist() for c in ("file", "offset", "n_bytes")), strict=True):
+            for name, block, at, size in zip(*(b[c].to_pylist() for c in ("file", "block", "offset", "n_bytes")), strict=True):
                 with fs.open_input_file(f"{path}/{name}") as f:
                     ids = np.frombuffer(f.read_at(size, at), dtype, count=size // width)
-                stops.append(np.flatnonzero(ids == end_id) + at // width)
-                ends.append(at // width + len(ids))
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, stops)]).astype(np.int32), np.concatenate([*stops, np.zeros(0, np.int64)]))
-            yield pa.record_batch([b["file"], b["block"], lists, pa.array(ends, pa.int64())], ["file", "block", "stops", "end"])
-
-    found = materialize(blocks(spark, folder, block_bytes).mapInArrow(run, "file string, block int, stops array<long>, end long"), "stops")
+                stops = np.flatnonzero(ids == end_id)
+                last = at // width + int(stops[-1]) if len(stops) else None
+                row = [pa.array([name], pa.string()), pa.array([block], pa.int32()), pa.array([at // width], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(stops)], pa.int64()), pa.array([last], pa.int64())]
+                yield pa.record_batch([*row, pa.array([stops.astype("<u4").tobytes()], pa.binary())], ["file", "block", "first", "n_ids", "n_stops", "last_stop", "stops"])
+
+    listed, tasks = blocks(spark, folder, block_bytes)
+    found = materialize(listed.mapInArrow(find, "file string, block int, first long, n_ids long, n_stops long, last_stop long, stops binary"), "stops")
+    # the prefix scan: one short row for each block
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = Window.partitionBy("file").orderBy(F.desc("block"))
-    sums = found.select("file", "block", F.size("stops").cast("long").alias("n"), F.try_element_at("stops", F.lit(-1)).alias("stop"), "end").select(
+    sums = found.select(
         "file",
         "block",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("docs_before"),
-        F.coalesce(F.max("stop").over(before), F.lit(-1)).alias("stop_before"),
-        (F.row_number().over(last) == 1).alias("is_last"),
+        F.coalesce(F.sum("n_stops").over(before), F.lit(0)).alias("docs_before"),
+        F.coalesce(F.max("last_stop").over(before), F.lit(-1)).alias("stop_before"),
+        F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull().alias("is_last"),
     )
-    stitched = found.join(sums, ["file", "block"])
-    # a file's last block may leave ids behind its last separator
-    tail = F.col("is_last") & (F.col("end") > F.coalesce(F.try_element_at("stops", F.lit(-1)), F.col("stop_before")) + 1)
-    stops = F.when(tail, F.concat("stops", F.array("end"))).otherwise(F.col("stops"))
-    begins = F.concat(F.array(F.col("stop_before") + 1), F.transform("stops", lambda x: x + 1))
-    docs = stitched.select("file", "docs_before", begins.alias("begins"), F.size("stops").alias("n"), F.posexplode(stops).alias("k", "stop"))
-    start = F.element_at("begins", F.col("k") + 1)
-    return docs.select("file", (F.col("docs_before") + F.col("k")).alias("doc_index"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"), (F.col("k") < F.col("n")).alias("terminated"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "doc_index", "start", "n_tokens", "terminated"]
+        for b in batches:
+            for name, first, n_ids, docs_before, stop_before, is_last, stops in zip(*(b[c].to_pylist() for c in ("file", "first", "n_ids", "docs_before", "stop_before", "is_last", "stops")), strict=True):
+                at = first + np.frombuffer(stops, "<u4").astype(np.int64)
+                begin = np.concatenate([[stop_before + 1], at + 1])
+                # a file's last block may leave ids behind its last separator
+                if is_last and first + n_ids > begin[-1]:
+                    at = np.append(at, first + n_ids)
+                done = len(stops) // 4
+                for k in range(0, len(at), EMIT_ROWS):
+                    stop, start = at[k : k + EMIT_ROWS], begin[: len(at)][k : k + EMIT_ROWS]
+                    place = np.arange(k, k + len(stop))
+                    yield pa.record_batch([pa.array([name] * len(stop), pa.string()), pa.array(docs_before + place), pa.array(start), pa.array(stop - start), pa.array(place < done)], names)
+
+    # by number, so that many separators in few bytes still spread over tasks
+    stitched = found.select("file", "block", "first", "n_ids", "stops").repartition(tasks, "file", "block").join(sums.repartition(tasks, "file", "block").hint("merge"), ["file", "block"])
+    return stitched.mapInArrow(emit, "file string, doc_index long, start long, n_tokens long, terminated boolean")
 
 
 def count_documents(docs: DataFrame) -> DataFrame:
