@@ -3,11 +3,16 @@
 Each document's id stream is cut where a rolling hash of the last WINDOW ids says so; a chunk is stored once,
 under the digest of its bytes, in pack files of plain little-endian ids. A recipe lists a document's chunks.
 Recipes are in ascending order of the document id, which gives each its start in the stream of all ids, and
-a Merkle tree over them gives each partition of recipes, and the store, a root that verify() recomputes.
+a Merkle tree over them gives each partition of recipes, and the store, a root. Packs, chunk places, recipes and
+the manifest of roots lie in one folder, from which Store.open() reads a store again.
 
 Chunks are deduplicated within a task before they are shuffled by digest, so a chunk that a third of the
 documents share travels once for each task. Reading back visits each stored chunk once: CRCs of chunks are
-combined into those of documents, so chunks aren't copied for each document that names them.
+combined into those of documents, so chunks aren't copied for each document that names them. Chunks that many
+documents name are broadcast to the rows that name them, by their number, length and CRC alone.
+
+Reading verifies: recipes must have the roots of the manifest, chunks their digests, and documents the number
+of ids that their recipe states; a damaged, missing or surplus recipe or chunk is an error, never a wrong row.
 
 Defined results: a null or empty text is a document of the end id alone; repeated ids are documents of their
 own, one after the other; a null id sorts first; an empty table gives a store without packs; columns other
@@ -24,11 +29,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import word_encoder
-from .common import id_text, materialize, shared_dir
+from .common import HOT_SHARE, id_text, lookup, materialize, shared_dir
 from .flat_files import Rotating, open_fs
 
 WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 128, 4096
@@ -36,6 +41,8 @@ DIGEST = 16
 #: A task forgets which chunks it has sent after so many; more copies are then sent, and dropped behind the shuffle.
 REMEMBERED = 500_000
 PACK_BYTES = 128 << 20
+#: About so many recipes, picked by a hash, show which chunks are hot.
+HOT_SAMPLE = 200_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -100,6 +107,29 @@ class Store:
     roots: DataFrame
     root: bytes
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Store:
+        """The store that write() left in a folder."""
+        read = spark.read.schema
+        places = read(_SCHEMAS["places"]).parquet(f"{folder}/places")
+        manifest = read(_SCHEMAS["manifest"]).parquet(f"{folder}/manifest")
+        top = manifest.filter("part = -1").first()
+        return cls(
+            folder,
+            top["dtype"],
+            read(_SCHEMAS["recipes"]).parquet(f"{folder}/recipes").filter("root IS NULL").drop("root"),
+            places.filter("digest IS NOT NULL").select("digest", "pack", "offset", "n_bytes"),
+            manifest.filter("part >= 0").drop("dtype"),
+            bytes(top["root"]),
+        )
+
+
+_SCHEMAS = {
+    "places": "doc_id long, n_tokens long, chunks binary, lens binary, digest binary, pack string, offset long, n_bytes long",
+    "recipes": "part long, pos long, base long, doc_id long, n_tokens long, chunks binary, lens binary, root binary",
+    "manifest": "part long, base long, n_docs long, n_ids long, root binary, dtype string",
+}
+
 
 def _chunked(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows of two kinds from one pass over the texts: recipes, and chunks that the task hasn't sent yet."""
@@ -158,7 +188,7 @@ def _packed(rows: DataFrame, folder: str) -> DataFrame:
                 yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(names, pa.binary()), pa.array(packs), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())], _PLACES)
         out.close()
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, chunks binary, lens binary, digest binary, pack string, offset long, n_bytes long")
+    return rows.mapInArrow(run, _SCHEMAS["places"])
 
 
 _PLACES = ["doc_id", "n_tokens", "chunks", "lens", "digest", "pack", "offset", "n_bytes"]
@@ -178,33 +208,35 @@ def _numbered(recipes: DataFrame) -> DataFrame:
         if pos:
             yield pa.record_batch([pa.array([part], pa.int64()), pa.array([pos], pa.int64()), pa.array([base], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([merkle(leaves)], pa.binary())], _NUMBERED)
 
-    return recipes.mapInArrow(run, "part long, pos long, base long, doc_id long, n_tokens long, chunks binary, lens binary, root binary")
+    return recipes.mapInArrow(run, _SCHEMAS["recipes"])
 
 
 _NUMBERED = ["part", "pos", "base", "doc_id", "n_tokens", "chunks", "lens", "root"]
 
 
 def write(docs: DataFrame, end_id: int = 2, tokenizer: str = word_encoder.DEFAULT, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> Store:
+    """Write the store below a folder (a new one in the shared folder by default), in ascending order of the id."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/packs"
+    folder = folder or f"{shared_dir(spark)}/store"
     source = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = _chunked(source, tokenizer, end_id).repartition("key").sortWithinPartitions("key")
-    places = materialize(_packed(rows, folder), "places")
-    index = places.filter(F.col("digest").isNotNull()).select("digest", "pack", "offset", "n_bytes")
-    recipes = places.filter(F.col("n_tokens").isNotNull()).select("doc_id", "n_tokens", "chunks", "lens")
-    ordered = materialize(_numbered(recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "chunks")), "recipes")
-    totals = sorted(ordered.filter(F.col("root").isNotNull()).select("part", "pos", "base", "root").collect())  # one row for each partition
+    _packed(rows, f"{folder}/packs").write.parquet(f"{folder}/places")
+    recipes = spark.read.schema(_SCHEMAS["places"]).parquet(f"{folder}/places").filter("n_tokens IS NOT NULL").select("doc_id", "n_tokens", "chunks", "lens")
+    _numbered(recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "chunks")).write.parquet(f"{folder}/recipes")
+    ordered = spark.read.schema(_SCHEMAS["recipes"]).parquet(f"{folder}/recipes")
+    totals = sorted(ordered.filter("root IS NOT NULL").select("part", "pos", "base", "root").collect())  # one row for each partition
     bases, at = [], 0
     for t in totals:
-        bases.append((t.part, at, t.pos, t.base, t.root))
+        bases.append((t.part, at, t.pos, t.base, t.root, None))
         at += t.base
-    roots = spark.createDataFrame(bases, "part long, base long, n_docs long, n_ids long, root binary")
-    return Store(folder, word_encoder.word_encoder(tokenizer).dtype, ordered.filter(F.col("root").isNull()).drop("root"), index, roots, merkle([bytes(t.root) for t in totals]))
+    top = (-1, 0, sum(t.pos for t in totals), at, merkle([bytes(t.root) for t in totals]), word_encoder.word_encoder(tokenizer).dtype)
+    spark.createDataFrame([top, *bases], _SCHEMAS["manifest"]).coalesce(1).write.parquet(f"{folder}/manifest")
+    return Store.open(spark, folder)
 
 
-def _read_chunks(store: Store, blobs: bool) -> DataFrame:
+def _read_chunks(index: DataFrame, store: Store, blobs: bool) -> DataFrame:
     """(digest, n, crc[, blob]) of each stored chunk, read from the packs; the digest is checked."""
-    folder, dtype = store.folder, store.dtype
+    folder, dtype = f"{store.folder}/packs", store.dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_fs(folder)
@@ -227,13 +259,13 @@ def _read_chunks(store: Store, blobs: bool) -> DataFrame:
         if file is not None:
             file.close()
 
-    tasks = max(int(store.index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    spread = store.index.repartitionByRange(tasks, "pack", "offset").sortWithinPartitions("pack", "offset")
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spread = index.repartitionByRange(tasks, "pack", "offset").sortWithinPartitions("pack", "offset")
     out = spread.mapInArrow(run, "digest binary, n long, crc long, blob binary")
     return out if blobs else out.drop("blob")
 
 
-def _named(store: Store) -> DataFrame:
+def _named(store: Store, recipes: DataFrame) -> DataFrame:
     """(start, doc_id, n_tokens, seq, digest, after): a row for each chunk that a recipe names; after: ids behind it in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +281,7 @@ def _named(store: Store) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["start", "doc_id", "n_tokens", "seq", "digest", "after"])
 
     bases = F.broadcast(store.roots.select("part", F.col("base").alias("offset")))  # a row for each partition of recipes
-    placed = store.recipes.join(bases, "part").select((F.col("base") + F.col("offset")).alias("start"), "doc_id", "n_tokens", "chunks", "lens")
+    placed = recipes.join(bases, "part").select((F.col("base") + F.col("offset")).alias("start"), "doc_id", "n_tokens", "chunks", "lens")
     return placed.mapInArrow(run, "start long, doc_id long, n_tokens long, seq long, digest binary, after long")
 
 
@@ -297,23 +329,46 @@ def _shifted(df: DataFrame) -> DataFrame:
     return df.select("start", "doc_id", "n_tokens", "n", "crc", "after").mapInArrow(run, "start long, doc_id long, n_tokens long, n long, crc long")
 
 
+def _joined(store: Store, blobs: bool) -> DataFrame:
+    """Each chunk that a recipe names, with what the packs hold of it; a chunk that they lack is an error.
+
+    Which chunks are hot is read off about HOT_SAMPLE recipes; that decides how rows travel, not what comes out.
+    """
+    n = store.roots.agg(F.sum("n_docs")).first()[0] or 0
+    named = _named(store, store.recipes)
+    share = min(1.0, HOT_SAMPLE / max(n, 1))
+    some = _named(store, store.recipes.filter(F.pmod(F.xxhash64("part", "pos"), F.lit(1_000_000)) < share * 1_000_000)).groupBy("digest").agg(F.count(F.lit(1)).alias("refs"))
+    some = materialize(some, "refs")
+    total = some.agg(F.sum("refs")).first()[0] or 0
+    hot = some.filter(F.col("refs") > max(1.0, total * HOT_SHARE)).select("digest")
+    hot_places = store.index.join(F.broadcast(hot), "digest", "left_semi")
+    found = lookup(named, "digest", _read_chunks(store.index, store, blobs), _read_chunks(hot_places, store, blobs))
+    lost = F.raise_error(F.concat(F.lit("chunk "), F.lower(F.hex("digest")), F.lit(" is missing")))
+    return found.withColumn("n", F.when(F.col("n").isNull(), lost.cast("long")).otherwise(F.col("n")))
+
+
+def _checked(given: str, seen: str) -> Column:
+    """The number of ids that a recipe gives, which must be the number seen."""
+    bad = F.raise_error(F.concat(F.lit("a document has "), F.col(seen), F.lit(" ids, not "), F.col(given)))
+    return F.when(F.col(given) == F.col(seen), F.col(given)).otherwise(bad.cast("long")).alias("n_tokens")
+
+
 def facts(store: Store) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the stored files."""
-    joined = _named(store).join(_read_chunks(store, blobs=False), "digest", "left")
-    per_doc = _shifted(joined).groupBy("start", "doc_id").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
-    return per_doc.select("doc_id", "start", "n_tokens", "ids_crc32")
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the stored files, verified against the manifest."""
+    verify_recipes(store)
+    per_doc = _shifted(_joined(store, blobs=False)).groupBy("start", "doc_id").agg(F.first("n_tokens").alias("given"), F.sum("n").alias("seen"), F.bit_xor("crc").alias("ids_crc32"))
+    return per_doc.select("doc_id", "start", _checked("given", "seen"), "ids_crc32")
 
 
 def read(store: Store) -> DataFrame:
-    """(doc_id, start, ids binary): whole documents, little-endian unsigned 32-bit integers."""
-    joined = _named(store).join(_read_chunks(store, blobs=True), "digest", "left")
-    parts = joined.groupBy("start", "doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "blob"))).alias("parts"))
+    """(doc_id, start, ids binary): whole documents, little-endian unsigned 32-bit integers, verified as facts() does."""
+    verify_recipes(store)
+    parts = _joined(store, blobs=True).groupBy("start", "doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "blob"))).alias("parts"))
     return parts.select("doc_id", "start", F.expr("aggregate(parts, X'', (a, p) -> concat(a, p.blob))").alias("ids"))
 
 
-def verify(store: Store) -> bool:
-    """Whether every chunk has its digest and the recipes have the Merkle roots of the manifest."""
-    _read_chunks(store, blobs=False).agg(F.count("digest")).collect()
+def verify_recipes(store: Store) -> None:
+    """Raise unless the recipes have the Merkle roots of the manifest, and these the store's root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, leaves = None, []
@@ -331,4 +386,12 @@ def verify(store: Store) -> bool:
     again = store.recipes.select("part", "pos", "doc_id", "chunks").repartition("part").sortWithinPartitions("part", "pos")
     seen = {r.part: bytes(r.root) for r in again.mapInArrow(run, "part long, root binary").collect()}
     held = {r.part: bytes(r.root) for r in store.roots.collect()}
-    return seen == held and merkle([held[p] for p in sorted(held)]) == store.root
+    if seen != held or merkle([held[p] for p in sorted(held)]) != store.root:
+        raise ValueError(f"the recipes in {store.folder} are damaged: their Merkle roots are not those of the manifest")
+
+
+def verify(store: Store) -> bool:
+    """True if every chunk has its digest and the recipes have the Merkle roots of the manifest; an error if not."""
+    _read_chunks(store.index, store, blobs=False).agg(F.count("digest")).collect()
+    verify_recipes(store)
+    return True

@@ -4,8 +4,9 @@ A tokenizer that normalises with NFC, white-space replacement and lower case, an
 a text the ids of the words between white space, in order. Words are remembered; a new one that is letters,
 perhaps with signs at its end, goes straight to the library's BPE model, any other to the whole tokenizer.
 U+001C to U+001F are white space to str.split but not to the tokenizer, and a capital sigma has two lower
-forms for str.lower; a text with one of them goes to the library as a whole, as do all texts for a tokenizer
-of another kind.
+forms for str.lower; a text with one of them goes to the library as a whole, as do texts that hold a special
+token of the tokenizer in any case, and all texts for a tokenizer of another kind. The library is used as it is
+loaded, without any switch of its own changed.
 """
 
 from __future__ import annotations
@@ -43,12 +44,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        self.by_word = kinds == NORMALIZERS and first.get("pattern") == {"Regex": SPLIT} and first["behavior"] == "Removed"
+        added = spec.get("added_tokens") or []
+        self.special = re.compile("|".join(re.escape(t["content"].lower()) for t in added) or r"(?!)")
+        plain = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].isascii() for t in added)
+        self.by_word = plain and kinds == NORMALIZERS and first.get("pattern") == {"Regex": SPLIT} and first["behavior"] == "Removed"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.words = Cache(size)
@@ -76,7 +79,10 @@ class WordEncoder:
         """The ids, as little-endian integers of self.dtype."""
         if not self.by_word or _WHOLE.search(text):
             return self.whole(text)
-        words = text.lower().split()
+        low = text.lower()
+        if self.special.search(low):
+            return self.whole(text)
+        words = low.split()
         found = list(map(self.words.young.get, words))
         if None in found:
             found = [self._word(w) if x is None else x for w, x in zip(words, found, strict=True)]

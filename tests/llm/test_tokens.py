@@ -7,11 +7,12 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ontoloom.llm import byte_bpe, content_store, queries, separator_scan, word_encoder
 
-ODD = ["", " ", "\x1c\x1d a", "  x  y\n\n z\t", "don't we'll  I'M", "naïve 12345 ﬁ ½", "<|endoftext|>", "a b　c", "x" * 3000, "日本語 テスト", "a\nb c", "a \nb", "👍🏽 ok", "a$$$ b### c!!", "ΑΣ İ ẞ"]
+ODD = ["", " ", "\x1c\x1d a", "  x  y\n\n z\t", "don't we'll  I'M", "naïve 12345 ﬁ ½", "<|endoftext|>", "abc <|endoftext|> def", "x<|EndOfText|>y", "<|startoftext|><|endoftext|>.", "a<|endoftext|", "a b　c", "x" * 3000, "日本語 テスト", "a\nb c", "a \nb", "👍🏽 ok", "a$$$ b### c!!", "ΑΣ İ ẞ"]
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +23,7 @@ def tk():
 
 @pytest.fixture(scope="module")
 def words():
-    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -75,9 +74,9 @@ def test_word_encoder_is_the_library(words, text):
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.characters(exclude_categories=["Cs"]), max_size=40))
-def test_word_encoder_on_any_text(text):
+def test_word_encoder_on_any_text(words, text):
     e = word_encoder.word_encoder()
-    assert np.frombuffer(e.encode(text), e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(e.encode(text), e.dtype).tolist() == words.encode(text, add_special_tokens=False).ids
 
 
 def _expected(rows, words):
@@ -101,18 +100,47 @@ def test_op7(spark, docs, empty, words):
     assert len(again) == 4 and len({r.start for r in again}) == 4
 
 
-def test_store_detects_damage(spark, docs):
+def _facts(store):
+    return sorted(tuple(r) for r in content_store.facts(store).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
+
+
+def test_a_store_is_opened_again(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    store = content_store.write(docs, folder=folder)
+    again = content_store.Store.open(spark, folder)
+    assert again.root == store.root and again.dtype == store.dtype and _facts(again) == _facts(store) and content_store.verify(again)
+
+
+def test_store_detects_damage(spark, docs, tmp_path):
     from ontoloom.llm.flat_files import open_fs
 
     store = content_store.write(docs)
+    recipes = store.recipes
+    for bad in (recipes.filter("doc_id <> 7"), recipes.withColumn("chunks", F.expr("if(doc_id = 7, concat(chunks, chunks), chunks)")), recipes.withColumn("doc_id", F.expr("if(doc_id = 7, 77, doc_id)"))):
+        store.recipes = bad
+        with pytest.raises(ValueError, match="damaged"):
+            content_store.facts(store)
+    store.recipes = recipes.withColumn("n_tokens", F.col("n_tokens") + 1)
+    with pytest.raises(Exception, match="ids, not"):
+        _facts(store)
+    store.recipes, index = recipes, store.index
+    store.index = index.filter(F.col("digest") != index.first()["digest"])
+    with pytest.raises(Exception, match="is missing"):
+        _facts(store)
+    store.index = index
     fs, path = open_fs(store.folder)
-    pack = f"{path}/{store.index.first()['pack']}"
-    with fs.open_output_stream(pack) as f:
+    with fs.open_output_stream(f"{path}/packs/{index.first()['pack']}") as f:
         f.write(bytes(100_000))
     with pytest.raises(Exception, match="damaged"):
         content_store.verify(store)
 
 
+def test_hot_chunks(spark, words):
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.expr("CASE WHEN id % 3 = 0 THEN 'the same words again' WHEN id % 7 = 0 THEN NULL ELSE concat('text ', id) END").alias("text"))
+    want = _expected([(r.doc_id, r.text) for r in df.collect()], words)
+    assert {r[0]: r[1:] for r in _facts(content_store.write(df))} == {d: v[:3] for d, v in want.items()}
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     gear = content_store.gear_table(1 << 16)
@@ -157,3 +185,18 @@ def test_scan_stitches_blocks(spark, tmp_path, block):
         if start < len(ids):
             want.append((name, k, start, len(ids) - start, False))
     assert sorted(tuple(r) for r in separator_scan.scan(spark, str(tmp_path), block_bytes=block).collect()) == want
+
+
+def test_scan_of_very_short_documents(spark, tmp_path):
+    """A million documents of one id, in blocks of 4 MB and in small ones, against a brute scan; memory stays bounded by the block."""
+    n = 1_000_000
+    ids = np.full(2 * n, 50256, "<u2")
+    ids[::2] = 7
+    (tmp_path / "short").write_bytes(ids.tobytes())
+    (tmp_path / "only").write_bytes(np.full(50_000, 50256, "<u2").tobytes())
+    for block in (4 << 20, 1 << 16):
+        got = separator_scan.scan(spark, str(tmp_path), block_bytes=block)
+        want = [("only", 50_000, 50_000 * 49_999 // 2, 50_000 * 49_999 // 2, 0, 0, 50_000), ("short", n, n * (n - 1) // 2, n * (n - 1), 1, 1, n)]
+        sums = got.groupBy("file").agg(F.count("*"), F.sum("doc_index"), F.sum("start"), F.min("n_tokens"), F.max("n_tokens"), F.count_if("terminated"))
+        assert sorted(tuple(r) for r in sums.collect()) == want
+        assert got.filter("file = 'short' AND start <> 2 * doc_index").count() == 0
