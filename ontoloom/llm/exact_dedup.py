@@ -1,14 +1,18 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table bucketed and sorted by the SHA-256 of the text. A batch of documents is reduced to
-one row per digest (map-side combined, so a digest that a third of the rows share costs one row per task),
-deduplicated against the index by a sort-merge anti-join whose index side is neither shuffled nor sorted
-again, and what is new is appended. Only DataFrame operations are used.
+The index is a table bucketed and sorted by the SHA-256 of the text. Documents come in batches. A batch is
+reduced to one row per digest (map-side combined, so a digest that a third of the rows share costs one row per
+task); a sort-merge anti-join against the index, whose side is read bucket by bucket and not shuffled, finds the
+digests that are new, and a semi-join those that are known. Both are appended, the known ones as counts of what
+the batch adds, so a digest's rows together say how often it was seen and which id stays. The files of a bucket
+are sorted each; Spark sorts a bucket that has several files again before it merges. Only DataFrame operations
+are used.
 
 Defined results: a null text counts as empty, empty texts are equal to each other; ids are compared as
 given, repeated ids count as rows of their own; a null id never wins over another; an empty batch appends
-nothing; columns other than the id and the text are ignored. Of equal texts the row with the largest id
-stays; a text that the index held before the batch keeps the id that the index has.
+nothing; columns other than the id and the text are ignored. Of equal texts the row with the largest id stays,
+over all batches that the index has seen, so a later batch may take the place of a row of an earlier one; the
+size of a group counts the rows of all batches.
 """
 
 from __future__ import annotations
@@ -18,14 +22,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import HOT_SHARE, id_text, materialize
 
-#: A digest with more than this share of the rows is hot. At most 1 / HOT_SHARE digests can be, which bounds the broadcast.
-HOT_SHARE = 0.001
+#: A table without an index of its own is taken in as so many batches, dealt by a hash of the id.
+BATCHES = 3
 
 
 class DigestIndex:
-    """The table (digest, keep_id, group_size), bucketed and sorted by digest."""
+    """The table (digest, keep_id, n, fresh), bucketed and sorted by digest; fresh rows are the first of their digest."""
 
     def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
         self.spark, self.table = spark, table
@@ -34,13 +38,18 @@ class DigestIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
 
+    def known(self) -> DataFrame:
+        """(digest) of all that the index has, each once."""
+        return self.spark.table(self.table).filter("fresh").select("digest")
+
     def read(self) -> DataFrame:
-        return self.spark.table(self.table)
+        """(digest, keep_id, group_size), one row for each digest; the buckets are aggregated where they lie."""
+        return self.spark.table(self.table).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
 
-    def append(self, fresh: DataFrame) -> None:
+    def append(self, rows: DataFrame) -> None:
         """Each task holds whole buckets, so a batch adds at most one file to each."""
         (
-            fresh.select("digest", "keep_id", "group_size")
+            rows.select("digest", "keep_id", "n", "fresh")
             .repartition(self.buckets, "digest")
             .write.mode("append")
             .format("parquet")
@@ -49,6 +58,9 @@ class DigestIndex:
             .saveAsTable(self.table)
         )
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest): the texts are read once and go no further."""
@@ -57,12 +69,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def ingest(batch: DataFrame, index: DigestIndex) -> None:
-    """Append to the index what it doesn't have of a batch of (doc_id, digest)."""
-    groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    if index.exists():
-        known = index.read().select("digest")
-        groups = groups.join(known.hint("merge"), "digest", "left_anti")
-    index.append(groups)
+    """Append to the index the digests of a batch of (doc_id, digest) that it lacks, and counts of those that it has."""
+    groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    if not index.exists():
+        index.append(groups.limit(0).withColumn("fresh", F.lit(True)))
+    groups = groups.repartition(index.buckets, "digest")  # as the index is dealt
+    fresh = groups.join(index.known().hint("merge"), "digest", "left_anti").withColumn("fresh", F.lit(True))
+    known = groups.join(index.known().hint("merge"), "digest", "left_semi").withColumn("fresh", F.lit(False))
+    index.append(fresh.unionByName(known))
 
 
 def mark(batch: DataFrame, index: DigestIndex) -> DataFrame:
@@ -89,10 +103,21 @@ def mark(batch: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs; the index grows by what is new."""
+def dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs; the index grows by them.
+
+    docs are taken in as one batch, or as several, dealt by a hash of the id. Without an index one is made, in
+    BATCHES batches, and dropped when the result is written.
+    """
     spark = docs.sparkSession
+    own = index is None
     index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    batch = materialize(digests(docs, id_col, text_col), "digests")
-    ingest(batch, index)
-    return mark(batch, index)
+    batches = batches or (BATCHES if own else 1)
+    rows = materialize(digests(docs, id_col, text_col), "digests")
+    for k in range(batches):
+        ingest(rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(batches)) == k) if batches > 1 else rows, index)
+    out = mark(rows, index)
+    if own:
+        out = materialize(out, "marked")
+        index.drop()
+    return out

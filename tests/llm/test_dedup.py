@@ -33,16 +33,38 @@ def test_hot_digests_and_repeated_ids(spark):
     assert sorted((r.keep_id or 0, r.kept) for r in exact_dedup.dedup(null).collect()) == [(0, True), (1, False), (1, True)]
 
 
-def test_later_batches_meet_the_index(spark):
+def test_three_batches_against_brute_force(spark):
+    """Every column after each batch: later copies raise the size and take the place of smaller ids."""
     index = exact_dedup.DigestIndex(spark, "index_of_test", buckets=3)
-    a = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "doc_id long, text string")
-    b = spark.createDataFrame([(9, "x"), (10, "z"), (11, "z")], "doc_id long, text string")
-    assert sorted(r.keep_id for r in exact_dedup.dedup(a, index).collect()) == [2, 2, 3]
-    assert sorted((r.doc_id, r.keep_id, r.kept) for r in exact_dedup.dedup(b, index).collect()) == [(9, 2, False), (10, 11, False), (11, 11, True)]
-    assert index.read().count() == 3
-    plan = b.select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")).join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan
-    spark.sql("DROP TABLE index_of_test")
+    seen = []
+    try:
+        for batch in ([(1, "x"), (2, "x"), (3, "y"), (4, None)], [(9, "x"), (10, "z"), (11, "z"), (0, ""), (5, "new")], [(6, "x"), (12, "y"), (None, "y"), (20, "only")]):
+            seen += batch
+            got = exact_dedup.dedup(spark.createDataFrame(batch, "doc_id long, text string"), index).collect()
+            want = []
+            for d, t in batch:
+                ids = [i for i, u in seen if (u or "") == (t or "")]
+                keep = max((i for i in ids if i is not None), default=None)
+                want.append((d, keep, len(ids), d == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+            assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+        assert index.known().count() == index.known().distinct().count() == index.read().count() == len({t or "" for _, t in seen})
+    finally:
+        index.drop()
+
+
+def test_the_query_ingests_by_anti_join(spark, docs, monkeypatch):
+    """All batches meet the index by a sort-merge anti-join that doesn't shuffle the index, and no table is left."""
+    plans, append = [], exact_dedup.DigestIndex.append
+
+    def spy(self, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        append(self, rows)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append", spy)
+    exact_dedup.dedup(docs)
+    joins = [p for p in plans if "SortMergeJoin" in p]
+    assert len(joins) == exact_dedup.BATCHES and all("LeftAnti" in p and "Bucketed: true" in p for p in joins)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
 
 
 def brute(texts, size, percent):
