@@ -12,7 +12,7 @@ from .common import materialize
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, float]]:
     """(doc_id, text, y) of about per_class documents of each class, and the weight of a row of each class.
 
-    Only labels of rows where learn holds count. The picked ids number about 2 * per_class, so they are
+    Only labels of rows where learn holds count; of several labels of an id the greatest. The picked ids number about 2 * per_class, so they are
     broadcast: the documents are filtered where they lie, and no text is shuffled.
     """
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1)).filter(learn).groupBy("doc_id").agg(F.max("y").alias("y"))

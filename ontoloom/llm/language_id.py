@@ -4,6 +4,8 @@ Training counts words per language on a bounded sample, natively; n-gram counts
 A known word adds its log frequency under each language. An unknown word is read from the left: at each place
 the longest n-gram that training knows adds its log frequency, and reading goes on behind it.
 
+Letters are those of Unicode's categories L, in training and in prediction; other signs end a word.
+
 Defined results: a null text or one without a letter is `und` with score 0; ties go to the language that sorts
 first; languages that are null are no training rows; without any training row every text is `und`; repeated
 rows and null ids pass through; other columns are ignored.
@@ -29,10 +31,21 @@ MAX_DOCS, MAX_WORDS = 1500, 30_000
 MAX_N = 5
 #: How much an n-gram counts against a known word: a backed-off score is discounted.
 DISCOUNT = 0.5
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters and numbers other than decimal digits; letters() leaves the letters of these.
+_RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def letters(text: str) -> Counter:
+    """The words of a lower-case text with their frequencies: runs of letters (isalpha is Unicode's L)."""
+    runs = Counter(_RUN.findall(text))
+    for w in [w for w in runs if not w.isalpha()]:
+        n = runs.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            runs[part] += n
+    return runs
+
+
 class Model:
     """Log frequencies as a tuple per word or n-gram, one value per language, in the order of langs."""
 
@@ -77,7 +90,7 @@ class Scorer:
         self.model, self.unseen = model, Cache(300_000)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORD.findall(text.lower())) if text else None
+        words = letters(text.lower()) if text else None
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
         known, totals = self.model.words, list(self.model.prior)
@@ -105,7 +118,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000)
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     counts: dict[str, dict[str, int]] = {k: {} for k in langs}
-    n = materialize(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "words")
+    n = materialize(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
     for k in langs:  # at most max_words rows of each language reach the driver
         for r in n.filter(F.col("lang") == k).orderBy(F.desc("n"), "word").limit(max_words).collect():
             counts[k][r.word] = r.n
@@ -113,8 +126,6 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     return Model(langs, [math.log(sizes[k] / total) for k in langs], counts)
 
 
-
-
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # max_words words and their n-grams for each language

@@ -6,16 +6,23 @@ of `bad`, weighted by the lines' lengths, are averaged, and that mean, with the
 probably bad, is calibrated to the document's quality.
 
 Training has labels of documents only. Lines of good documents are good; lines of bad ones start as bad and
-are relabelled by the model's marginals between rounds, while a bad document keeps its worst line.
-
-Defined results: a null text counts as empty; a text without a line that isn't blank has nothing against it
-and gets the score of a text that is good throughout; a line is what lies between line feeds, blank lines are left out; repeated rows and null ids
-pass through; other columns are ignored; labels that are null or neither 0 nor 1 are ignored; without labelled
-rows every score is 0.5.
+are relabelled by the model's marginals between rounds, while a bad document keeps its worst line. The field is
+fitted on two thirds of the sample, by a hash of the text; the rest calibrates the scores.
+
+A long text is featurised in pieces of whole lines of about GROUP_BYTES, so what a worker holds at a time grows
+with its number of lines and its longest line (about a hundred bytes for each byte of that), not with the text.
+
+Defined results: a null text counts as empty; a line is what lies between line feeds, empty lines are left out,
+and a line of blanks is a line; a text without lines has nothing against it and gets the score of a text that is
+good throughout; repeated rows and null ids pass through; other columns are ignored; labels that are null or
+neither 0 nor 1 are ignored, of several labels of an id the greatest counts; texts that alone exceed max_bytes are
+no training rows; a sample whose two thirds or whose rest lack a class is used for both; without labelled rows
+every score is 0.5.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +46,7 @@ for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQR
 _CLASSES[128:] = 12
 _N_CLASSES = 13
 _BYTE = np.random.default_rng(3).integers(0, 1 << 64, 256, dtype=np.uint64)
-N_FEATURES = _N_CLASSES + 8
+N_FEATURES, _SEEN = _N_CLASSES + 8, _N_CLASSES + 6
 
 
 def _run_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -63,9 +70,35 @@ class Lines:
     length: np.ndarray
     doc: np.ndarray
     n_docs: int
+    hash: np.ndarray
 
 
 def featurise(texts: list[str]) -> Lines:
+    """All lines of the texts; one long text goes in pieces, whose repeated lines are found over all of it."""
+    if len(texts) != 1 or len(texts[0]) <= GROUP_BYTES:
+        return _featurise(texts)
+    text, pieces, at = texts[0], [], 0
+    while at < len(text):
+        end = text.find("\n", min(at + GROUP_BYTES, len(text)))
+        end = len(text) if end < 0 else end
+        pieces.append(_featurise([text[at:end]]))
+        at = end + 1
+    out = joined(pieces)
+    out.doc[:] = 0
+    out.n_docs = 1
+    out.x[:, _SEEN] = _repeated(out.hash, out.doc)
+    return out
+
+
+def _repeated(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a line came before in its document."""
+    order = np.lexsort((hashes, doc))
+    seen = np.zeros(len(hashes), bool)
+    seen[order[1:]] = (hashes[order][1:] == hashes[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    return seen
+
+
+def _featurise(texts: list[str]) -> Lines:
     """All lines of the texts at once, without a loop over lines or words."""
     parts = [t.encode() + b"\n" for t in texts]
     data = np.frombuffer(b"".join(parts), np.uint8)
@@ -89,26 +122,23 @@ def featurise(texts: list[str]) -> Lines:
     distinct = np.ones(len(ws), bool)
     distinct[order[1:]] = (wh[order][1:] != wh[order][:-1]) | (wl[order][1:] != wl[order][:-1])
     last = data[np.maximum(we - 1, 0)] if len(we) else data[:0]
-    odd_end = np.isin(_CLASSES[last], (6, 8))  # !?, and signs of junk
-    # lines that came before in the same document
+    odd_end = np.isin(_CLASSES[last], (6, 8))  # stops and bars
     lh = _run_hashes(data, begins, ends)
-    order = np.lexsort((lh, doc))
-    seen = np.zeros(n, bool)
-    seen[order[1:]] = (lh[order][1:] == lh[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    seen = _repeated(lh, doc)
     rates = kinds / size[:, None]
     x = np.column_stack([
         rates, np.log1p(size) / 5, np.log1p(m) / 4, size / m / 10,
         np.bincount(wl, again, n) / m, np.bincount(wl, distinct, n) / m, np.bincount(wl, odd_end, n) / m,
         seen, kinds[:, 2] / np.maximum(kinds[:, 1] + kinds[:, 2], 1),
     ])
-    return Lines(x[keep], size[keep], doc[keep], len(texts))
+    return Lines(x[keep], size[keep], doc[keep], len(texts), lh[keep])
 
 
 def joined(parts: list[Lines]) -> Lines:
     """Lines of several groups of documents as those of one."""
     first = np.cumsum([0, *(p.n_docs for p in parts)])
     doc = np.concatenate([p.doc + k for p, k in zip(parts, first, strict=False)])
-    return Lines(np.concatenate([p.x for p in parts]), np.concatenate([p.length for p in parts]), doc, int(first[-1]))
+    return Lines(np.concatenate([p.x for p in parts]), np.concatenate([p.length for p in parts]), doc, int(first[-1]), np.concatenate([p.hash for p in parts]))
 
 
 def with_neighbours(lines: Lines) -> np.ndarray:
@@ -186,7 +216,20 @@ def aggregate(p: np.ndarray, lines: Lines) -> np.ndarray:
 
 
 def fit(texts: list[str], y: np.ndarray, w: np.ndarray) -> Model:
-    """y: 1 for good documents; w: weights of documents."""
+    """y: 1 for good documents; w: weights of documents. A third, by a hash of the text, is for calibration alone."""
+    held = np.array([zlib.crc32(t.encode()) % 3 == 0 for t in texts])
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        grow = rest = np.ones(len(texts), bool)
+    else:
+        grow, rest = ~held, held
+    model = _fit([t for t, on in zip(texts, grow, strict=True) if on], y[grow])
+    lines = joined([featurise(g) for g in _groups([t for t, on in zip(texts, rest, strict=True) if on])])
+    model.calibration = Isotonic(-(model.documents(lines) @ model.mix), y[rest], w[rest])
+    return model
+
+
+def _fit(texts: list[str], y: np.ndarray) -> Model:
+    """The field, not calibrated yet."""
     lines = joined([featurise(g) for g in _groups(texts)])
     x = with_neighbours(lines)
     mean, scale = x.mean(0, dtype=float).astype(np.float32), x.std(0, dtype=float).astype(np.float32)
@@ -218,17 +261,16 @@ def fit(texts: list[str], y: np.ndarray, w: np.ndarray) -> Model:
             worst = np.zeros(lines.n_docs)
             np.maximum.at(worst, lines.doc, p)
             label = (bad_doc & ((p > 0.5) | (p >= worst[lines.doc]))).astype(float)
-    model = Model(mean, scale, theta, trans, np.array([0.7, 0.3]), Isotonic(np.zeros(0), np.zeros(0), np.zeros(0)))
-    model.calibration = Isotonic(-(model.documents(lines) @ model.mix), y, w)
-    return model
+    return Model(mean, scale, theta, trans, np.array([0.7, 0.3]), Isotonic(np.zeros(0), np.zeros(0), np.zeros(0)))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 8 << 20) -> Model:
-    """Fit on a bounded sample; the driver holds at most max_bytes of texts (whole texts, picked by a hash of the id)."""
+    """Fit on a bounded sample; the driver holds about max_bytes of texts: whole ones, picked by a hash of the id, none of which alone exceeds max_bytes."""
     rows, weights = sample(docs, labels, label_col, learn, per_class, id_col, text_col)
+    rows = rows.filter(F.octet_length("text") <= max_bytes)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = min(1.0, max_bytes / max(size, 1))
-    picked = rows.filter((F.octet_length("text") <= max_bytes // 8) & (F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(1_000_000)) < share * 1_000_000))
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(1_000_000)) < share * 1_000_000)
     got = sorted((r.doc_id, r.y, r.text) for r in picked.toLocalIterator())
     if not got:
         z = np.zeros(3 * N_FEATURES + 1)
