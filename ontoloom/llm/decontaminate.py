@@ -8,19 +8,22 @@ passages, each with the groups in which it can reach the threshold; there they a
 of the blocks' maxima at the pivot, then full scores. Hits are verified on words: the shares of the distinct
 SHINGLE-word shingles of the item's question and of its answer that the document has around the passage.
 
-The index is sent to the workers in shards of at most MAX_INDEX_BYTES of item text, one after the other, so
-what is broadcast is bounded whatever the benchmark's size.
+The index is sent to the workers in shards of about MAX_INDEX_BYTES of item text, one after the other, so what is
+broadcast is bounded whatever the benchmark's size: postings take 12 bytes each in arrays, a term about 500, so a
+shard of short words that are all different (0.7 million) holds most, by this arithmetic 350 MB. An item is never
+split over shards.
 
 Defined results: null texts count as empty; an item or document without words gives no pair; the last sentence
 of an item is its answer and the rest its question, an item of one sentence has its last third as the answer;
-parts with fewer words than a shingle are one shingle; repeated items and documents are reported each; null ids
-pass through; other columns are ignored; empty tables give no pairs.
+parts with fewer words than a shingle are one shingle; repeated items and documents are reported each; ids of items
+and documents may be of any type, null ids pass through; other columns are ignored; empty tables give no pairs.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import id_text
 
@@ -39,7 +43,7 @@ PASSAGE, SEGMENT, SHINGLE = 64, 32, 5
 THRESHOLD, OVERLAP = 0.5, 0.8
 #: Postings of a block; groups of segments whose greatest impacts are held by term for the vectorised bound.
 K1, B, BLOCK, GROUPS = 1.2, 0.75, 16, 64
-MAX_INDEX_BYTES = 32 << 20
+MAX_INDEX_BYTES = 4 << 20
 WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -62,7 +66,7 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
 class Index:
     """Postings by term, in blocks with their greatest impact, over segments of items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[object, str]]):
         self.items = []  # (item_id, words of question, words of answer)
         segments: list[tuple[int, list[str]]] = []
         for item_id, text in items:
@@ -87,9 +91,9 @@ class Index:
                 if k == len(lists):
                     lists.append([])
                 lists[k].append((ordinal, v / own))
-        self.ordinals = [[o for o, _ in p] for p in lists]
-        self.impacts = [[v for _, v in p] for p in lists]
-        self.block_max = [[max(p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in self.impacts]
+        self.ordinals = [array("i", (o for o, _ in p)) for p in lists]
+        self.impacts = [array("d", (v for _, v in p)) for p in lists]
+        self.block_max = [array("d", (max(p[i : i + BLOCK]) for i in range(0, len(p), BLOCK))) for p in self.impacts]
         self.bound = [max(p) for p in self.impacts]
         self.group_max = np.zeros((len(lists) + 1, GROUPS), np.float32)  # the last row is for words of no item
         self.group_size = max(1, -(-len(segments) // GROUPS))
@@ -226,7 +230,8 @@ def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text") ->
 def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each item that a document holds."""
     out, spark = None, docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, item_type = docs.schema[id_col].dataType.simpleString(), items.schema["item_id"].dataType
+    item_kind = to_arrow_type(item_type)
     for index in shards(items):
         sent = spark.sparkContext.broadcast(index)
 
@@ -234,10 +239,10 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overla
             for b in batches:
                 rows = [(d, *hit) for d, t in zip(b["doc_id"].to_pylist(), b["text"], strict=True) for hit in sent.value.hits(t.as_py(), threshold, overlap)]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (b["doc_id"].type, pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                kinds = (b["doc_id"].type, item_kind, pa.float64(), pa.float64(), pa.float64())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
+        found = id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, item_id {item_type.simpleString()}, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out
 

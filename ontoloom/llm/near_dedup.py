@@ -2,23 +2,28 @@
 
 1. Each text becomes the set of its shingles (64-bit hashes). Texts with equal sets are one class from here on,
    so a group of copies costs one row in what follows.
-2. A class has a signature of TREES * DEPTH minima. Each tree orders the classes by its own DEPTH minima; classes
-   that share the longest prefixes are neighbours. A region of the order (a prefix) that holds at most CLOSED
-   classes is compared within itself; a larger one is opened one level deeper, so depth follows density.
-3. A region that is dense at the first depth is also cut at random, differently in each tree, into blocks of
-   about BLOCK classes, where each class proposes its nearest neighbours by signature.
+2. A class has a signature of TREES * DEPTH minima. Each tree of the forest is one sorted order of all classes: by
+   DEPTH minima of its own, 32 bits each, then by a byte of each of the TAIL minima that follow. Each order is cut
+   into blocks of BLOCK places, whatever the keys, with the neighbours of a block's ends added.
+3. Within an order, a region is a run of places that share a prefix. Each class is compared with the region that
+   shares the longest prefix with it, found from the lengths of common prefixes of neighbouring places: the
+   shallowest region, from depth FIRST on, that has at most CLOSED classes. So depth follows density. Where even
+   the whole key leaves more, the neighbours within CLOSED places are compared.
 4. Proposed pairs are confirmed on the full sets: first each class's nearest partners, then those pairs that
    still lie between components, until none is left. Components are computed by alternating stars.
-5. In a dense region, classes that are not in its largest component but near to others are queries against the
-   whole region, block by block on full sets, so no link of theirs is left to chance.
+5. In a region that is dense at depth FIRST, proposed classes that are not in its largest component are queries
+   against all proposed classes of the region, block by block on full sets.
 
 Pairs whose signatures agree in under NEAR of the positions are not proposed: for a similarity of 0.8 or more
-that happens with a probability below 1e-7.
-
-Defined results: a null text counts as empty; a text without words has an empty set and is linked with nothing,
-not even with other such texts; with fewer words than a shingle the whole sequence is the one shingle; ids must
-be unique for a component to be named by one row; repeated texts are one class; other columns are ignored; an
-empty table gives an empty result.
+that happens with a probability below 1e-7. Two sets of similarity s share a region of a sparse part of an order
+with probability s ** FIRST; over all TREES orders a pair at 0.8 is missed with one below 2e-5. In dense parts
+step 5 stands behind this; only a class that resembles none of its neighbours in any of the orders takes no part.
+
+Defined results: ids are numbers, cast to long (a text that is no number fails the query); a null text counts as
+empty; a text without words has an empty set and is linked with nothing, not even with other such texts; with fewer
+words than a shingle the whole sequence is the one shingle; rows that repeat an id under several texts are one node;
+a row with a null id belongs to the component of the rows that share its set, and without such rows has a null
+component and is kept; repeated texts are one class; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_filter, id_text, materialize
+from .common import HOT_SHARE, discard, id_filter, id_text, lookup, materialize
 
-TREES, DEPTH, FIRST = 16, 6, 3
-CLOSED, BLOCK = 32, 512
+TREES, DEPTH, FIRST, TAIL = 16, 6, 3, 26
+CLOSED, BLOCK = 32, 16384
 NEAR = 0.55
 NEAREST = 2
 QUERIES = 256
@@ -87,11 +92,11 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     step = max(1, (1 << 18) // max(1, len(hashes)))
     for k in range(0, _K, step):
         out[k : k + step] = (hashes[:, None] * _MULTIPLIERS[k : k + step]).min(0)
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def sets(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, sketch array<int>, bits): digest names the set, bits has a byte of each minimum."""
+    """(doc_id, n_shingles, digest, sketch, bits): digest names the set, sketch has its minima, bits a byte of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,22 +106,120 @@ def sets(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "te
                 n.append(len(h))
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 s = signature(h) if len(h) else None
-                sketches.append(s)
-                bits.append(None if s is None else (s.view(np.uint32) >> np.uint32(8)).astype(np.uint8).tobytes())
-            lists = pa.array(sketches, pa.list_(pa.int32()))
-            yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch", "bits"])
+                sketches.append(None if s is None else s.astype(">u4").tobytes())
+                bits.append(None if s is None else (s >> np.uint32(8)).astype(np.uint8).tobytes())
+            yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch", "bits"])
 
     source = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<int>, bits binary")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary, bits binary")
+
+
+def _ordered(classes: DataFrame) -> tuple[DataFrame, int]:
+    """(tree, key, id, place): all classes in each of the orders, numbered through, and their number."""
+    head = F.expr(f"substring(sketch, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
+    tail = F.expr(f"substring(concat(bits, bits), (tree + 1) * {DEPTH} + 1, {TAIL})")
+    rows = classes.select("id", "sketch", "bits", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", F.concat(head, tail).alias("key"), "id")
+    by = ("tree", "key", "id")
+    dealt = materialize(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()), "orders")
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted(tuple(r) for r in dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1))).collect())  # one row for each partition
+    bases = [(p, int(n)) for (p, _), n in zip(sizes, np.cumsum([0, *(n for _, n in sizes)]), strict=False)]
+    known = dealt.sparkSession.createDataFrame(bases, "part long, base long")
+    placed = dealt.withColumn("part", part).join(F.broadcast(known), "part")
+    return placed.select(*by, (F.col("base") + within).alias("place")), sum(n for _, n in sizes)
+
+
+def _depths(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How many minima each place's key shares with the one before it: 32-bit ones first, then those of one byte."""
+    out = np.zeros(len(keys), np.int64)
+    if len(keys) > 1:
+        differ = keys[1:] != keys[:-1]
+        byte = np.where(differ.any(1), differ.argmax(1), keys.shape[1])
+        out[1:] = np.where(byte < 4 * DEPTH, byte // 4, byte - 3 * DEPTH)
+        out[1:][tree[1:] != tree[:-1]] = -1  # another order
+    out[:1] = -1
+    return out
+
+
+def regions(tree: np.ndarray, keys: np.ndarray, own: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of a block with the neighbours of its ends: index arrays of its groups to compare; the run at depth FIRST of each place, and its size as far as seen.
+
+    A group belongs to the block that owns its first place, so no two blocks give the same one.
+    """
+    shared, n = _depths(tree, keys), len(keys)
+    groups, closed = [], np.zeros(n, bool)
+    first_run = first_size = None
+    for depth in range(FIRST, DEPTH + TAIL + 1):
+        run = np.cumsum(shared < depth) - 1
+        starts = np.flatnonzero(shared < depth)
+        sizes = np.diff(np.concatenate([starts, [n]]))
+        if first_run is None:
+            first_run, first_size = run, sizes[run]
+        for k in np.flatnonzero((sizes <= CLOSED) & ~closed[starts]).tolist():
+            at = starts[k]
+            if sizes[k] > 1 and own[at]:
+                groups.append(np.arange(at, at + sizes[k]))
+        closed |= sizes[run] <= CLOSED
+        if closed.all():
+            break
+    # what the whole key leaves: windows of CLOSED places, each half over the next
+    for at in np.flatnonzero(~closed & own & ((place % (CLOSED // 2) == 0) | (shared < DEPTH + TAIL))).tolist():
+        end = at + 1
+        while end < min(n, at + CLOSED) and shared[end] == DEPTH + TAIL:
+            end += 1
+        if end > at + 1:
+            groups.append(np.arange(at, end))
+    return groups, first_run, first_size
+
+
+def _neighbours(classes: DataFrame) -> DataFrame:
+    """(region, ids): groups to compare (region is null), and classes of regions that are dense at depth FIRST."""
+    rows, _ = _ordered(classes)
+    reach = CLOSED + 1
+    block, within = F.floor(F.col("place") / BLOCK), F.col("place") % BLOCK
+    also = F.array(block, F.when(within < reach, block - 1), F.when(within >= BLOCK - reach, block + 1))
+    dealt = rows.withColumn("home", block).withColumn("block", F.explode(F.filter(also, lambda x: x.isNotNull() & (x >= 0))))
+    dealt = dealt.select("block", "place", (F.col("home") == F.col("block")).alias("own"), "tree", "key", "id").repartition("block").sortWithinPartitions("block", "place")
+
+    def lists(region: list[int | None], members: list[np.ndarray]) -> pa.RecordBatch:
+        ids = pa.ListArray.from_arrays(np.cumsum([0, *map(len, members)]).astype(np.int32), np.concatenate([*members, np.zeros(0, np.int64)]))
+        return pa.record_batch([pa.array(region, pa.int64()), ids], ["region", "ids"])
+
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        tree, ids, place = (table[c].to_numpy() for c in ("tree", "id", "place"))
+        own = table["own"].to_numpy(zero_copy_only=False)
+        keys = np.frombuffer(b"".join(table["key"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        groups, run, size = regions(tree, keys, own, place)
+        region, members = [None] * len(groups), [np.sort(ids[g]) for g in groups]
+        dense = np.flatnonzero(own & (size > CLOSED))
+        if len(dense):
+            cuts = np.flatnonzero(np.diff(run[dense])) + 1
+            for part in np.split(dense, cuts):
+                name = int(tree[part[0]]).to_bytes(2, "big") + keys[part[0], : 4 * FIRST].tobytes()
+                region.append(int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "big", signed=True))
+                members.append(ids[part])
+        return lists(region, members)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of one block: BLOCK rows and those at its ends
+        for b in batches:
+            blocks = b["block"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and held[-1]["block"][0].as_py() != int(blocks[lo]):
+                    yield whole(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield whole(pa.Table.from_batches(held))
 
-def _keys(rows: DataFrame, depth: int) -> DataFrame:
-    """(id, tree, key): the prefix of the given depth in each tree of the rows."""
-    return rows.withColumn("key", F.xxhash64(F.lit(depth), "tree", F.slice("sketch", F.col("tree") * DEPTH + 1, F.lit(depth)))).select("id", "tree", "key")
+    return dealt.mapInArrow(run, "region long, ids array<long>")
 
 
-def _pairs_of_blocks(blocks: DataFrame, every: bool) -> DataFrame:
-    """(a, b, near): pairs within arrays of (id, bits); all near enough, or each member's nearest."""
+def _pairs_of_groups(groups: DataFrame) -> DataFrame:
+    """(a, b, near): pairs within arrays of (id, bits), those that are near enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,58 +227,29 @@ def _pairs_of_blocks(blocks: DataFrame, every: bool) -> DataFrame:
             for members in batch["members"].to_pylist():
                 ids = np.array([m["id"] for m in members], np.int64)
                 bits = np.frombuffer(b"".join(m["bits"] for m in members), np.uint8).reshape(len(ids), _K)
-                est = np.zeros((len(ids), len(ids)), np.int16)
-                for i in range(len(ids)):
-                    est[i] = (bits == bits[i]).sum(1)
-                np.fill_diagonal(est, -1)
-                if every:
-                    i, j = np.nonzero(np.triu(est >= NEAR * _K, 1))
-                else:
-                    k = min(NEAREST, len(ids) - 1)
-                    j = np.argpartition(-est, k - 1, axis=1)[:, :k].ravel()
-                    i = np.repeat(np.arange(len(ids)), k)
-                    on = est[i, j] >= NEAR * _K
-                    i, j = i[on], j[on]
+                est = (bits[:, None, :] == bits[None, :, :]).sum(2)
+                i, j = np.nonzero(np.triu(est >= NEAR * _K, 1))
                 a.append(np.minimum(ids[i], ids[j]))
                 b.append(np.maximum(ids[i], ids[j]))
                 near.append(est[i, j].astype(np.int32))
             if a:
                 yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(near))], ["a", "b", "near"])
 
-    return blocks.select("members").mapInArrow(run, "a long, b long, near int")
+    return groups.select("members").mapInArrow(run, "a long, b long, near int")
 
 
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b, near) proposed pairs of class ids, and (id, key) of the regions that are dense at the first depth."""
-    found, dense = [], None
-    rows = classes.select("id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    bits = classes.select("id", "bits")
-    for depth in range(FIRST, DEPTH + 1):
-        keyed = _keys(rows, depth)
-        counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        members = materialize(keyed.join(counts, "key"), f"regions{depth}")
-        # equal groups of several trees are one; a group has CLOSED members at most
-        groups = members.filter(F.col("n") <= CLOSED).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
-        named = groups.select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("id")).join(bits, "id")
-        found.append(_pairs_of_blocks(named.groupBy("g").agg(F.collect_list(F.struct("id", "bits")).alias("members")), every=True))
-        big = members.filter(F.col("n") > CLOSED)
-        if depth in (FIRST, DEPTH):
-            cut = big.withColumn("block", F.pmod(F.xxhash64("id", "tree", F.lit(depth)), F.ceil(F.col("n") / BLOCK)))
-            # a class meets its signature once, not once for each tree
-            once = cut.groupBy("id").agg(F.collect_list(F.struct("key", "block")).alias("places")).join(bits, "id")
-            placed = once.select("id", "bits", F.inline("places"))
-            blocks = placed.groupBy("key", "block").agg(F.collect_list(F.struct("id", "bits")).alias("members")).filter(F.size("members") > 1)
-            found.append(_pairs_of_blocks(blocks, every=False))
-        if depth == FIRST:
-            dense = big.select("id", "key")
-        if big.limit(1).count() == 0:
-            break
-        trees = big.groupBy("id").agg(F.collect_list("tree").alias("trees")).join(classes.select("id", "sketch"), "id")
-        rows = trees.select("id", "sketch", F.explode("trees").alias("tree"))
-    pairs = found[0]
-    for p in found[1:]:
-        pairs = pairs.unionByName(p)
-    return materialize(pairs.groupBy("a", "b").agg(F.max("near").alias("near")), "pairs"), dense
+    found = materialize(_neighbours(classes), "neighbours")
+    # equal groups of several orders are one; a group has CLOSED members at most
+    groups = found.filter("region IS NULL").select("ids").distinct()
+    named = groups.select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("id"))
+    # a class meets its signature once, not once for each group
+    once = named.groupBy("id").agg(F.collect_set("g").alias("gs")).join(classes.select("id", "bits"), "id")
+    grouped = once.select("id", "bits", F.explode("gs").alias("g")).groupBy("g").agg(F.collect_list(F.struct("id", "bits")).alias("members"))
+    pairs = _pairs_of_groups(grouped).groupBy("a", "b").agg(F.max("near").alias("near"))
+    dense = found.filter("region IS NOT NULL").select(F.col("region").alias("key"), F.explode("ids").alias("id"))
+    return materialize(pairs, "pairs"), dense
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -216,17 +290,19 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars; each round is written to the shared folder, and only a count and
     a checksum of it reach the driver.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    before = None
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
+    check = (F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
+    before = tuple(e.agg(*check).first())  # one row
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        hubs = least.filter(F.col("n") > max(1.0, 2 * before[0] * HOT_SHARE)).select("u", "m")
+        large = lookup(both, "u", least.select("u", "m"), hubs).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = materialize(small.filter("u <> v").distinct(), "stars")
-        # the checksum is one row
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        last, e = e, materialize(small.filter("u <> v").distinct(), "stars")
+        discard(last)
+        now = tuple(e.agg(*check).first())
         if now == before:
             roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
@@ -249,15 +325,18 @@ def _queries(dense: DataFrame, labels: DataFrame, full: DataFrame, percent: int)
     lab = labels.select("id", "component")
     member = dense.join(full.select("id"), "id").join(lab, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     member = materialize(member, "members")
+    total = member.count()
     sizes = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("total"))
-    marked = member.join(main, "key").withColumn("residual", F.col("component") != F.col("main"))
-    odd = marked.groupBy("key").agg(F.count_if("residual").alias("odd")).filter("odd > 0")
-    placed = marked.join(odd, "key").join(full, "id")
-    spread = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(n / QUERIES))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    marked = lookup(member, "key", main, main.filter(F.col("total") > max(1.0, total * HOT_SHARE))).filter("total > most")
+    placed = marked.join(full, "id").withColumn("parts", F.ceil(F.col("total") / QUERIES))
+    spread = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), n)
     item = F.collect_list(F.struct("id", "component", "hashes"))
-    asked = placed.filter("residual").withColumn("block", spread(F.col("odd"))).groupBy("key", "block").agg(item.alias("asked"))
-    held = placed.withColumn("part", spread(F.col("total"))).groupBy("key", "part").agg(item.alias("held"))
+    held = placed.withColumn("part", spread(F.col("parts"))).groupBy("key", "part").agg(item.alias("held"))
+    odd = placed.filter("component <> main").withColumn("block", spread(F.ceil((F.col("total") - F.col("most")) / QUERIES)))
+    asked = odd.groupBy("key", "block", "parts").agg(item.alias("asked"))
+    # each part of a region meets the queries under a key of its own
+    asked = asked.select("key", "block", "asked", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,7 +359,7 @@ def _queries(dense: DataFrame, labels: DataFrame, full: DataFrame, percent: int)
                 pairs = sorted(found)
                 yield pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
-    return asked.join(held, "key").select("asked", "held").mapInArrow(run, "a long, b long").distinct()
+    return asked.join(held, ["key", "part"]).select("asked", "held").mapInArrow(run, "a long, b long").distinct()
 
 
 def _grown(labels: DataFrame, new: DataFrame) -> DataFrame:
@@ -312,14 +391,13 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     """
     source = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     all_sets = materialize(sets(source, size), "sets")
-    classes = materialize(
-        all_sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "classes"
-    )
-    labels = links(source, classes, size, percent)
-    named = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    classes = all_sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
+    classes = materialize(classes, "classes")
+    labels = links(source, classes.filter("id IS NOT NULL"), size, percent)
+    named = materialize(classes.select("digest", "id", "n").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"), "n"), "named")
+    hot = named.filter(F.col("n") > max(1.0, all_sets.count() * HOT_SHARE))
     return (
-        all_sets.select("doc_id", "n_shingles", "digest")
-        .join(named, "digest", "left")
+        lookup(all_sets.select("doc_id", "n_shingles", "digest"), "digest", named.drop("n"), hot.drop("n"))
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -121,6 +122,58 @@ def test_op5_against_all_pairs(spark):
     assert got == brute(texts, 4, 80)
 
 
+def test_op5_on_null_and_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, "only here one two three"), (None, "shared by two rows"), (5, "shared by two rows"), (7, long), (7, "another text of seven here"), (8, long + " more"), (9, "another text of seven here"), (9, "another text of seven here"), (None, None)]
+    got = near_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (0, 5, False), (5, 5, True), (7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False), (9, 7, False)]
+
+
+def test_regions_do_not_depend_on_blocks(spark, monkeypatch):
+    """Groups and dense regions of orders that are cut every 64 places are those of the whole orders, and those of a plain search."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(80)]
+    texts = []
+    for i in range(700):
+        w = list(base) if i % 3 else [rng.choice(words) for _ in range(80)]
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append((i, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    classes = common.materialize(near_dedup.sets(df, 4).withColumnRenamed("doc_id", "id"), "classes")
+
+    def found():
+        groups, dense = Counter(), set()
+        for r in near_dedup._neighbours(classes).collect():
+            if r.region is None:
+                groups[tuple(r.ids)] += 1
+            else:
+                dense |= {(r.region, i) for i in r.ids}
+        return groups, dense
+
+    whole = found()
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    assert found() == whole
+    # plainly: in each order, the shallowest prefix that a class shares with at most CLOSED classes, itself among them
+    want = set()
+    rows = [(r.id, bytes(r.sketch), bytes(r.bits) * 2) for r in classes.collect()]
+    for t in range(near_dedup.TREES):
+        key = {}
+        for i, sketch, bits in rows:
+            first = (t + 1) * near_dedup.DEPTH
+            key[i] = [sketch[4 * k : 4 * k + 4] for k in range(t * near_dedup.DEPTH, first)] + [bits[k : k + 1] for k in range(first, first + near_dedup.TAIL)]
+        for i in key:
+            for depth in range(near_dedup.FIRST, near_dedup.DEPTH + near_dedup.TAIL + 1):
+                near = sorted(j for j in key if key[j][:depth] == key[i][:depth])
+                if len(near) <= near_dedup.CLOSED:
+                    if len(near) > 1:
+                        want.add(tuple(near))
+                    break
+    assert want <= set(whole[0]) and any(len(g) > 2 for g in want) and whole[1]
+
+
 def test_shingles_ignore_white_space_and_case():
     a = near_dedup.shingles("One two\tTHREE  four\x0bfive", 4)
     assert (a == near_dedup.shingles("one TWO three four five", 4)).all() and len(a) == 2

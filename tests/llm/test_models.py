@@ -260,6 +260,24 @@ def test_op1(spark, docs, empty):
     assert decontaminate.find(docs, items.filter("false")).count() == 0 and decontaminate.find(empty, items).count() == 0
 
 
+def test_op1_ids_of_any_type(spark):
+    """Items and documents are named by strings here; a repeated and a null id are reported too."""
+    text = "The old mill by the river grinds corn every single autumn day. Its miller is called Tobias Green."
+    items = spark.createDataFrame([("i-1", text), ("i-2", text), (None, "another question about seven distant lakes? the answer names all of them")], "item_id string, text string")
+    docs = spark.createDataFrame([("d", f"before {text} after"), ("d", f"before {text} after"), (None, "x another question about seven distant lakes? the answer names all of them y"), ("clean", "nothing")], "doc_id string, text string")
+    got = sorted((r.doc_id or "", r.item_id or "") for r in decontaminate.find(docs, items).collect())
+    assert got == [("", ""), ("d", "i-1"), ("d", "i-1"), ("d", "i-2"), ("d", "i-2")]
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == ["clean"]
+
+
+def test_op1_shards(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i}. eta{i} theta{i}") for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i}. eta{i} theta{i} y") for i in range(0, 60, 7)], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "MAX_INDEX_BYTES", 500)
+    assert sum(1 for _ in decontaminate.shards(items)) > 2
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect()} == {(i, i) for i in range(0, 40, 7)}
+
+
 def test_op1_against_containment(spark):
     items = {r.item_id: decontaminate.WORD.findall(r.text.lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     want = set()
