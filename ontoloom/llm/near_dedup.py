@@ -7,8 +7,9 @@
    into blocks of BLOCK places, whatever the keys, with the neighbours of a block's ends added.
 3. Within an order, a region is a run of places that share a prefix. Each class is compared with the region that
    shares the longest prefix with it, found from the lengths of common prefixes of neighbouring places: the
-   shallowest region, from depth FIRST on, that has at most CLOSED classes. So depth follows density. Where even
-   the whole key leaves more, the neighbours within CLOSED places are compared.
+   shallowest region, from depth FIRST on, that has at most CLOSED classes. So depth follows density. In regions
+   that are dense at depth FIRST the next neighbours of the order are compared too, at least CLOSED / 2 to either
+   side: a class may stand alone one level down and still have near ones beside it.
 4. Proposed pairs are confirmed on the full sets: first each class's nearest partners, then those pairs that
    still lie between components, until none is left. Components are computed by alternating stars.
 5. In a region that is dense at depth FIRST, proposed classes that are not in its largest component are queries
@@ -162,11 +163,10 @@ def regions(tree: np.ndarray, keys: np.ndarray, own: np.ndarray, place: np.ndarr
         closed |= sizes[run] <= CLOSED
         if closed.all():
             break
-    # what the whole key leaves: windows of CLOSED places, each half over the next
-    for at in np.flatnonzero(~closed & own & ((place % (CLOSED // 2) == 0) | (shared < DEPTH + TAIL))).tolist():
-        end = at + 1
-        while end < min(n, at + CLOSED) and shared[end] == DEPTH + TAIL:
-            end += 1
+    # dense runs: windows of CLOSED places, each half over the next
+    starts = first_run != np.concatenate([[-1], first_run[:-1]])
+    for at in np.flatnonzero((first_size > CLOSED) & own & ((place % (CLOSED // 2) == 0) | starts)).tolist():
+        end = int(np.searchsorted(first_run[at : at + CLOSED], first_run[at], "right")) + at
         if end > at + 1:
             groups.append(np.arange(at, end))
     return groups, first_run, first_size
