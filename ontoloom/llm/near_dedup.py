@@ -7,9 +7,9 @@
    into blocks of BLOCK places, whatever the keys, with the neighbours of a block's ends added.
 3. Within an order, a region is a run of places that share a prefix. Each class is compared with the region that
    shares the longest prefix with it, found from the lengths of common prefixes of neighbouring places: the
-   shallowest region, from depth FIRST on, that has at most CLOSED classes. So depth follows density. In regions
-   that are dense at depth FIRST the next neighbours of the order are compared too, at least CLOSED / 2 to either
-   side: a class may stand alone one level down and still have near ones beside it.
+   shallowest region, from depth FIRST on, that has at most CLOSED classes. So depth follows density. Where that
+   is deeper than FIRST, each class proposes its NEAREST in the region; one that stands alone there, or that the
+   whole key doesn't tell from more, its NEAREST among at least CLOSED / 2 next places on either side.
 4. Proposed pairs are confirmed on the full sets: first each class's nearest partners, then those pairs that
    still lie between components, until none is left. Components are computed by alternating stars.
 5. In a region that is dense at depth FIRST, proposed classes that are not in its largest component are queries
@@ -142,13 +142,14 @@ def _depths(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def regions(tree: np.ndarray, keys: np.ndarray, own: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Of a block with the neighbours of its ends: index arrays of its groups to compare; the run at depth FIRST of each place, and its size as far as seen.
+def regions(tree: np.ndarray, keys: np.ndarray, own: np.ndarray, place: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray | None]], np.ndarray, np.ndarray]:
+    """Of a block with the neighbours of its ends: groups, as index arrays; the run at depth FIRST of each place, and its size as far as seen.
 
-    A group belongs to the block that owns its first place, so no two blocks give the same one.
+    A group comes with the places in it that ask for their nearest, or with None where all its pairs are wanted.
+    It belongs to the block that owns its first place, so no two blocks give the same one.
     """
     shared, n = _depths(tree, keys), len(keys)
-    groups, closed = [], np.zeros(n, bool)
+    groups, closed, alone = [], np.zeros(n, bool), np.ones(n, bool)
     first_run = first_size = None
     for depth in range(FIRST, DEPTH + TAIL + 1):
         run = np.cumsum(shared < depth) - 1
@@ -156,49 +157,49 @@ def regions(tree: np.ndarray, keys: np.ndarray, own: np.ndarray, place: np.ndarr
         sizes = np.diff(np.concatenate([starts, [n]]))
         if first_run is None:
             first_run, first_size = run, sizes[run]
-        for k in np.flatnonzero((sizes <= CLOSED) & ~closed[starts]).tolist():
-            at = starts[k]
-            if sizes[k] > 1 and own[at]:
-                groups.append(np.arange(at, at + sizes[k]))
+        for k in np.flatnonzero((sizes <= CLOSED) & (sizes > 1) & ~closed[starts]).tolist():
+            group = np.arange(starts[k], starts[k] + sizes[k])
+            alone[group] = False
+            if own[group[0]]:
+                groups.append((group, None if depth == FIRST else group))
         closed |= sizes[run] <= CLOSED
         if closed.all():
             break
-    # dense runs: windows of CLOSED places, each half over the next
-    starts = first_run != np.concatenate([[-1], first_run[:-1]])
-    for at in np.flatnonzero((first_size > CLOSED) & own & ((place % (CLOSED // 2) == 0) | starts)).tolist():
-        end = int(np.searchsorted(first_run[at : at + CLOSED], first_run[at], "right")) + at
-        if end > at + 1:
-            groups.append(np.arange(at, end))
+    # places of dense runs that no region holds: windows of CLOSED places, each half over the next
+    alone &= first_size > CLOSED
+    heads = first_run != np.concatenate([[-1], first_run[:-1]])
+    for at in np.flatnonzero((first_size > CLOSED) & own & ((place % (CLOSED // 2) == 0) | heads)).tolist():
+        group = np.arange(at, at + np.searchsorted(first_run[at : at + CLOSED], first_run[at], "right"))
+        if len(group) > 1 and alone[group].any():
+            groups.append((group, group[alone[group]]))
     return groups, first_run, first_size
 
 
 def _neighbours(classes: DataFrame) -> DataFrame:
-    """(region, ids): groups to compare (region is null), and classes of regions that are dense at depth FIRST."""
+    """(region, ids, asking): groups to compare (region is null; of asking ones, if any, the nearest are wanted), and classes of regions that are dense at depth FIRST."""
     rows, _ = _ordered(classes)
-    reach = CLOSED + 1
+    reach = 2 * CLOSED + 1  # a window may end CLOSED places on, where as many more must be seen
     block, within = F.floor(F.col("place") / BLOCK), F.col("place") % BLOCK
     also = F.array(block, F.when(within < reach, block - 1), F.when(within >= BLOCK - reach, block + 1))
     dealt = rows.withColumn("home", block).withColumn("block", F.explode(F.filter(also, lambda x: x.isNotNull() & (x >= 0))))
     dealt = dealt.select("block", "place", (F.col("home") == F.col("block")).alias("own"), "tree", "key", "id").repartition("block").sortWithinPartitions("block", "place")
 
-    def lists(region: list[int | None], members: list[np.ndarray]) -> pa.RecordBatch:
-        ids = pa.ListArray.from_arrays(np.cumsum([0, *map(len, members)]).astype(np.int32), np.concatenate([*members, np.zeros(0, np.int64)]))
-        return pa.record_batch([pa.array(region, pa.int64()), ids], ["region", "ids"])
+    def lists(members: list[np.ndarray | None]) -> pa.Array:
+        return pa.array([None if m is None else np.sort(m) for m in members], pa.list_(pa.int64()))
 
     def whole(table: pa.Table) -> pa.RecordBatch:
         tree, ids, place = (table[c].to_numpy() for c in ("tree", "id", "place"))
         own = table["own"].to_numpy(zero_copy_only=False)
         keys = np.frombuffer(b"".join(table["key"].to_pylist()), np.uint8).reshape(len(ids), -1)
         groups, run, size = regions(tree, keys, own, place)
-        region, members = [None] * len(groups), [np.sort(ids[g]) for g in groups]
+        region, members, asking = [None] * len(groups), [ids[g] for g, _ in groups], [None if a is None else ids[a] for _, a in groups]
         dense = np.flatnonzero(own & (size > CLOSED))
         if len(dense):
-            cuts = np.flatnonzero(np.diff(run[dense])) + 1
-            for part in np.split(dense, cuts):
+            for part in np.split(dense, np.flatnonzero(np.diff(run[dense])) + 1):
                 name = int(tree[part[0]]).to_bytes(2, "big") + keys[part[0], : 4 * FIRST].tobytes()
                 region.append(int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "big", signed=True))
-                members.append(ids[part])
-        return lists(region, members)
+                members.append(ids[part]), asking.append(None)
+        return pa.record_batch([pa.array(region, pa.int64()), lists(members), lists(asking)], ["region", "ids", "asking"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of one block: BLOCK rows and those at its ends
@@ -215,11 +216,11 @@ def _neighbours(classes: DataFrame) -> DataFrame:
         if held:
             yield whole(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "region long, ids array<long>")
+    return dealt.mapInArrow(run, "region long, ids array<long>, asking array<long>")
 
 
 def _pairs_of_groups(groups: DataFrame) -> DataFrame:
-    """(a, b, near): pairs within arrays of (id, bits), those that are near enough."""
+    """(a, b, near): pairs within arrays of (id, bits, asks) that are near enough: all (asks is null), or the NEAREST of those that ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +229,13 @@ def _pairs_of_groups(groups: DataFrame) -> DataFrame:
                 ids = np.array([m["id"] for m in members], np.int64)
                 bits = np.frombuffer(b"".join(m["bits"] for m in members), np.uint8).reshape(len(ids), _K)
                 est = (bits[:, None, :] == bits[None, :, :]).sum(2)
-                i, j = np.nonzero(np.triu(est >= NEAR * _K, 1))
+                if members[0]["asks"] is None:
+                    i, j = np.nonzero(np.triu(est >= NEAR * _K, 1))
+                else:
+                    np.fill_diagonal(est, -1)
+                    ask, k = np.flatnonzero([m["asks"] for m in members]), min(NEAREST, len(ids) - 1)
+                    i, j = np.repeat(ask, k), np.argpartition(-est[ask], k - 1, axis=1)[:, :k].ravel()
+                    i, j = i[on := est[i, j] >= NEAR * _K], j[on]
                 a.append(np.minimum(ids[i], ids[j]))
                 b.append(np.maximum(ids[i], ids[j]))
                 near.append(est[i, j].astype(np.int32))
@@ -242,11 +249,12 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b, near) proposed pairs of class ids, and (id, key) of the regions that are dense at the first depth."""
     found = materialize(_neighbours(classes), "neighbours")
     # equal groups of several orders are one; a group has CLOSED members at most
-    groups = found.filter("region IS NULL").select("ids").distinct()
-    named = groups.select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("id"))
+    groups = found.filter("region IS NULL").select("ids", "asking").distinct()
+    asks = F.transform("ids", lambda x: F.struct(x.alias("id"), F.array_contains("asking", x).alias("asks")))
+    named = groups.select(F.xxhash64("ids", "asking").alias("g"), F.inline(asks))
     # a class meets its signature once, not once for each group
-    once = named.groupBy("id").agg(F.collect_set("g").alias("gs")).join(classes.select("id", "bits"), "id")
-    grouped = once.select("id", "bits", F.explode("gs").alias("g")).groupBy("g").agg(F.collect_list(F.struct("id", "bits")).alias("members"))
+    once = named.groupBy("id").agg(F.collect_list(F.struct("g", "asks")).alias("places")).join(classes.select("id", "bits"), "id")
+    grouped = once.select("id", "bits", F.inline("places")).groupBy("g").agg(F.collect_list(F.struct("id", "bits", "asks")).alias("members"))
     pairs = _pairs_of_groups(grouped).groupBy("a", "b").agg(F.max("near").alias("near"))
     dense = found.filter("region IS NOT NULL").select(F.col("region").alias("key"), F.explode("ids").alias("id"))
     return materialize(pairs, "pairs"), dense
