@@ -83,22 +83,30 @@ def replaceaccents(x: pd.Series) -> pd.Series:
     return x.map(to_ascii)
 
 
+def _isolated(f: Callable, word: str | None):
+    """A value that a function can't take is null, and the term stays as it was; the other terms aren't touched."""
+    try:
+        return None if word is None else f(word)
+    except Exception:
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def stem(x: pd.Series) -> pd.Series:
     """Of the whole value as one word."""
-    return x.map(lambda w: None if w is None else stem_english(w))
+    return x.map(lambda w: _isolated(stem_english, w))
 
 
 @F.pandas_udf(T.StringType())
 def lemmatize(x: pd.Series) -> pd.Series:
     """Of the whole value as one noun."""
-    return x.map(lambda w: None if w is None else lemma(w))
+    return x.map(lambda w: _isolated(lemma, w))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def tokenize(x: pd.Series) -> pd.Series:
     """N6"""
-    return x.map(lambda w: None if w is None else treebank(w))
+    return x.map(lambda w: _isolated(treebank, w))
 
 
 OPERATIONS: dict[str, Callable] = {

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares; one machine alone may go without the setting."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = "file:///tmp/checkpoints"
+    return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage through a Parquet table below spark.checkpoint.dir, or /tmp/checkpoints where that isn't set."""
+    """Cut the lineage through a Parquet table below spark.checkpoint.dir."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{tag}"
+    path = f"{shared_folder(spark)}/{tag}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -24,3 +33,13 @@ def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     before = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))  # a row for each partition
     rank = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
     return cut.join(F.broadcast(before), "part_").filter(F.col("before_") < n).withColumn("rank_", F.col("before_") + rank).filter(F.col("rank_") <= n).select(df.columns)
+
+
+def shuffled(df: DataFrame, seed: int, *key: str) -> DataFrame:
+    """T5: df with `position` from 1 in the order of an md5 of the key and a seed; by range partitions, as first_rows()."""
+    hashed = df.withColumn("key_", F.md5(F.concat_ws("#", *key, F.lit(seed))))
+    cut = written(hashed.repartitionByRange("key_", *key).withColumn("part_", F.spark_partition_id()), "shuffled")
+    sizes = cut.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))  # a row for each partition
+    rank = F.row_number().over(Window.partitionBy("part_").orderBy("key_", *key))
+    return cut.join(F.broadcast(before), "part_").select(*df.columns, (F.col("before_") + rank).alias("position"))

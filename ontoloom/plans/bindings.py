@@ -85,3 +85,16 @@ def tokens_sql(x: str) -> str:
 
 def cosine_sql(a: str, b: str) -> str:
     return f"coalesce(list_cosine_similarity({a}, {b}), 0)"
+
+
+def partial_sql(pairs: str) -> str:
+    """CTEs over pairs(l1, l2), the last one `partial`(l1, l2, ratio).
+
+    The longest common subsequence with each window is counted in bits: one for each character of the shorter text.
+    """
+    return f"""pl AS (SELECT DISTINCT l1, l2 FROM {pairs}),
+ po AS (SELECT l1, l2, CASE WHEN length(l1) <= length(l2) THEN l1 ELSE l2 END AS s, CASE WHEN length(l1) <= length(l2) THEN l2 ELSE l1 END AS l FROM pl UNION ALL SELECT l1, l2, l2, l1 FROM pl WHERE length(l1) = length(l2)),
+ pm AS (SELECT l1, l2, length(s) AS n, length(l) AS m, list_transform(range(1, length(l) + 1), lambda i: coalesce(list_sum(list_transform(list_filter(range(0, length(s)), lambda j: s[j + 1] = l[i]), lambda j: 1::BIGINT << j)), 0)::BIGINT) AS k FROM po WHERE s <> ''),
+ pw AS (SELECT l1, l2, n, unnest(range(1 - n, m)) AS first, k FROM pm), px AS (SELECT l1, l2, n, list_slice(k, greatest(first, 0) + 1, first + n) AS x FROM pw),
+ pz AS (SELECT l1, l2, n, len(x) AS c, list_reduce(list_prepend((1::BIGINT << n) - 1, x), lambda v, y: ((v + (v & y)) | (v - (v & y))) & ((1::BIGINT << n) - 1)) AS v FROM px),
+ partial AS (SELECT l1, l2, max(200.0::DOUBLE * (n - bit_count(v)) / (n + c)) AS ratio FROM pz GROUP BY 1, 2 UNION ALL SELECT l1, l2, CASE WHEN l1 = l2 THEN 100.0 ELSE 0.0 END FROM pl WHERE l1 = '' OR l2 = '')"""

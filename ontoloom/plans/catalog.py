@@ -15,6 +15,7 @@ from ..operators import features as E
 from ..operators import hierarchy as H
 from ..operators import learning as L
 from ..operators import reports as R
+from ..operators import storage
 from ..sources import embedder, files, rdf
 from . import bindings as B
 
@@ -83,9 +84,9 @@ def levenshtein_pairs(spark, sf):
     return _label_pairs(spark, sf).select("src", "tgt", F.levenshtein("l1", "l2").alias("distance"))
 
 
-@query()
+@query(_PAIRS + f""", {B.partial_sql("p")} SELECT src, tgt, l1, l2, round(ratio, 6) AS ratio FROM p JOIN partial USING (l1, l2)""")
 def partial_ratio(spark, sf):
-    return _label_pairs(spark, sf).select("src", "tgt", "l1", "l2").withColumn("ratio", X.partial_ratio("l1", "l2"))
+    return _label_pairs(spark, sf).select("src", "tgt", "l1", "l2").withColumn("ratio", F.round(X.partial_ratio("l1", "l2"), 6))
 
 
 # --- candidates
@@ -190,13 +191,17 @@ def topk_cosine(spark, sf):
     return C.topk_cosine(e, e, 10)
 
 
-@query(_LABELED + f""", {B.VECTORS_SQL} SELECT l.src, l.tgt, l.label FROM labeled l JOIN vec a ON a.concept = l.src JOIN vec b ON b.concept = l.tgt WHERE {B.cosine_sql("a.embedding", "b.embedding")} >= 0.05""")
+@query(_LABELED + f""", {B.VECTORS_SQL}, lab AS (SELECT concept, {B.norm_sql("label")} AS l FROM source UNION ALL SELECT concept, {B.norm_sql("label")} FROM target),
+ q AS (SELECT l.src, l.tgt, l.label, x.l AS l1, y.l AS l2 FROM labeled l JOIN vec a ON a.concept = l.src JOIN vec b ON b.concept = l.tgt JOIN lab x ON x.concept = l.src JOIN lab y ON y.concept = l.tgt WHERE {B.cosine_sql("a.embedding", "b.embedding")} >= 0.05),
+ {B.partial_sql("q")} SELECT src, tgt, label FROM q JOIN partial USING (l1, l2) WHERE ratio >= 65""")
 def threshold_select(spark, sf):
     labels = C.merge_labels(B.source(spark, sf), B.target(spark, sf))
-    return C.select_pairs(_labeled(spark, sf), labels.join(B.vectors(spark, sf), "concept"), 0.0, 0.05)
+    return C.select_pairs(_labeled(spark, sf), labels.join(B.vectors(spark, sf), "concept"), 65.0, 0.05)
 
 
-@query()
+@query(f"""WITH {B.SOURCE_SQL}, {B.TARGET_SQL}, {B.VECTORS_SQL}, c AS (SELECT a.concept AS src, b.concept AS tgt, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS cosine FROM vec a, vec b WHERE a.concept IN (SELECT concept FROM source) AND b.concept IN (SELECT concept FROM target)),
+ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cosine DESC, tgt) AS rank FROM c) WHERE rank <= 10 AND cosine >= 0.1),
+ h AS (SELECT k.src, k.tgt, s.label AS l1, t.label AS l2 FROM k JOIN source s ON s.concept = k.src JOIN target t ON t.concept = k.tgt), {B.partial_sql("h")} SELECT DISTINCT src, tgt FROM h JOIN partial USING (l1, l2) WHERE ratio >= 30""")
 def hybrid_candidates(spark, sf):
     v = B.vectors(spark, sf)
     return C.hybrid_candidates(B.source(spark, sf).join(v, "concept"), B.target(spark, sf).join(v, "concept"), 10, 30.0, 0.1)
@@ -282,13 +287,18 @@ def attributed_graph(spark, sf):
     return H.attributed_graph(broader, narrower, related)
 
 
-@query()
+@query(f"""WITH {B.EDGES_SQL}, e AS (SELECT parent AS src, child AS dst FROM edges), nn AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)), c AS (SELECT count(*) AS n FROM nn),
+ d AS (SELECT DISTINCT ('0x' || substr(md5(concat_ws('#', src, dst, k, 42, 'i')), 1, 8))::BIGINT % n AS i, ('0x' || substr(md5(concat_ws('#', src, dst, k, 42, 'j')), 1, 8))::BIGINT % n AS j FROM e, c, range(8) r(k)),
+ f AS (SELECT a.node AS src, b.node AS dst FROM d JOIN nn a ON a.idx = i JOIN nn b ON b.idx = j WHERE i <> j AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = a.node AND e.dst = b.node) AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = b.node AND e.dst = a.node))
+ SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('#', src, dst, 42)), src, dst) AS k FROM f) WHERE k <= (SELECT count(*) FROM e)""")
 def negative_edges(spark, sf):
     e = B.edges(spark, sf)
     return H.negative_edges(H.nodes(e), e.select(F.col("parent").alias("src"), F.col("child").alias("dst")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {B.EDGES_SQL}, {B.REFERENCE_SQL}, b AS (SELECT child AS u, parent AS v FROM edges UNION SELECT parent, child FROM edges),
+ hop AS (SELECT DISTINCT tgt AS t, tgt AS node, 0 AS k FROM pos UNION SELECT t, v, k + 1 FROM hop JOIN b ON u = node WHERE k < 5), y AS (SELECT DISTINCT t, node FROM hop WHERE node <> t)
+ SELECT src, tgt, 0 AS label FROM (SELECT *, {_SAMPLED} FROM (SELECT p.src, p.tgt AS true_tgt, y.node AS tgt FROM pos p JOIN y ON y.t = p.tgt)) x {_ANTI}""")
 def hop_negatives(spark, sf):
     return C.hop_negatives(B.reference(spark, sf), B.edges(spark, sf))
 
@@ -311,9 +321,9 @@ _FEATURES = _LABELED + f""", {B.VECTORS_SQL}, {B.DEPTH_SQL}, lab AS (SELECT conc
  f AS (SELECT q.src, q.tgt, q.label, x.l AS l1, y.l AS l2, x.t AS t1, y.t AS t2, len(list_intersect(x.t, y.t)) AS n, u.embedding AS e1, v.embedding AS e2, g.depth AS d1, h.depth AS d2, i.a AS a1, j.a AS a2
  FROM labeled q JOIN vec u ON u.concept = q.src JOIN vec v ON v.concept = q.tgt JOIN tok x ON x.concept = q.src JOIN tok y ON y.concept = q.tgt
  JOIN depth g ON g.node = q.src JOIN depth h ON h.node = q.tgt JOIN a i ON i.node = q.src JOIN a j ON j.node = q.tgt),
- m AS (SELECT (SELECT max(depth) FROM depth WHERE node IN (SELECT concept FROM source)) AS s, (SELECT max(depth) FROM depth WHERE node IN (SELECT concept FROM target)) AS t) """
-_ABLATED = f"""(l1 = l2)::INT AS exact_match, round(n / (len(t1) + len(t2) - n), 6) AS jaccard, round({B.cosine_sql("e1", "e2")}, 6) AS cosine, levenshtein(l1, l2)::INT AS levenshtein,
- abs(d1 - d2)::INT AS depth_diff, round(abs(d1 / m.s - d2 / m.t), 6) AS norm_depth_diff, round(len(list_intersect(a1, a2)) / len(list_distinct(a1 || a2)), 6) AS ancestor_jaccard, label FROM f, m"""
+ m AS (SELECT (SELECT max(depth) FROM depth WHERE node IN (SELECT concept FROM source)) AS s, (SELECT max(depth) FROM depth WHERE node IN (SELECT concept FROM target)) AS t), {B.partial_sql("f")} """
+_ABLATED = f"""(l1 = l2)::INT AS exact_match, round(n / (len(t1) + len(t2) - n), 6) AS jaccard, round({B.cosine_sql("e1", "e2")}, 6) AS cosine, levenshtein(l1, l2)::INT AS levenshtein, round(ratio / 100, 6) AS partial_match,
+ abs(d1 - d2)::INT AS depth_diff, round(abs(d1 / m.s - d2 / m.t), 6) AS norm_depth_diff, round(len(list_intersect(a1, a2)) / len(list_distinct(a1 || a2)), 6) AS ancestor_jaccard, label FROM f JOIN partial USING (l1, l2), m"""
 
 
 def _features(spark, sf, seed: int = 42, **options) -> DataFrame:
@@ -327,17 +337,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(_FEATURES + "SELECT src, tgt, n::INT AS shared_tokens, round(n / len(t1), 6) AS token_ratio_c1, round(n / len(t2), 6) AS token_ratio_c2, " + _ABLATED)
 def features_main(spark, sf):
-    return _rounded(_features(spark, sf, partial=False))
+    return _rounded(_features(spark, sf))
 
 
 @query(_FEATURES + "SELECT src, tgt, " + _ABLATED)
 def features_ablation(spark, sf):
-    return _rounded(_features(spark, sf, ablation=True, partial=False))
-
-
-@query()
-def features_full(spark, sf):
-    return _features(spark, sf)
+    return _rounded(_features(spark, sf, ablation=True))
 
 
 @query()
@@ -569,7 +574,10 @@ def anti_existing_terms(spark, sf):
     return files.new_terms(*_terms(spark, sf)).select("concept_uri", "transformed_term")
 
 
-@query()
+@query("""WITH n AS (SELECT 'c:' || c_custkey AS c, replace(c_name, 'Customer', 'Supplier') AS t, 'label:' || substr(sha1(concat_ws('|', 'label', 'c:' || c_custkey, 'l:' || c_custkey, c_name, replace(c_name, 'Customer', 'Supplier'), 'en')), 1, 30) AS u FROM customer
+ WHERE replace(c_name, 'Customer', 'Supplier') NOT IN (SELECT s_name FROM supplier))
+ SELECT u AS label_uri, c AS concept_uri, t AS literal_form, 'en' AS language_tag, 'editor:1' AS editor, '"2024-01-01"' AS created,
+ u || ' skosxl:literalForm "' || t || '"@en; a skosxl:Label ; pav:createdOn "2024-01-01" ; pav:lastUpdatedOn "2024-01-01" ; pav:createdBy editor:1 ; pav:curatedBy editor:1 . ' || c || ' skosxl:altLabel ' || u || ' .' AS turtle FROM n""")
 def provenance(spark, sf):
     return files.provenance(*_terms(spark, sf), ["greekchars"], "editor:1", '"2024-01-01"')[0]
 
@@ -618,12 +626,118 @@ def report_parse(spark, sf):
     return _tables(spark, sf).select("max_negatives", "cosine_similarity", F.inline("rows"))
 
 
-@query()
+_CELLS = """, r AS (SELECT replace(label, 'macro avg', 'macro-avg') AS label, round(pr, 2) AS precision, round(re, 2) AS recall, round(f1, 2) AS f1_score, support FROM w
+ UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 2), sum(support) FROM f),
+ cells AS (SELECT label, 'precision' AS metric, precision AS value, support FROM r UNION ALL SELECT label, 'recall', recall, support FROM r UNION ALL SELECT label, 'f1_score', f1_score, support FROM r) """
+
+
+@query(_REPORT.format(by="0") + _CELLS + "SELECT label, metric, value, round(value / max(value) OVER (PARTITION BY metric), 6) AS share, support / 2 AS size FROM cells")
 def report_metrics(spark, sf):
-    return R.long_metrics(_tables(spark, sf))
+    return R.long_metrics(_tables(spark, sf)).select("label", "metric", "value", r6(F.col("share"), "share"), "size")
+
+
+@query(_REPORT.format(by="0") + _CELLS + "SELECT 0.3::DOUBLE AS cosine, f1_score AS metric, support, 300.0::DOUBLE AS size FROM r WHERE label = 'macro-avg'")
+def report_points(spark, sf):
+    return R.metric_points(_tables(spark, sf)).select("cosine", "metric", "support", "size")
+
+
+@query(_REPORT.format(by="0") + _CELLS + "SELECT precision, recall, f1_score, support, 1.0::DOUBLE AS share FROM r WHERE label = 'weighted avg'")
+def report_last_tables(spark, sf):
+    return R.last_tables(_tables(spark, sf), "weighted avg").select("precision", "recall", "f1_score", "support", "share")
+
+
+@query(_REPORT.format(by="0") + _CELLS + "SELECT 0.3::DOUBLE AS cosine_similarity, precision, recall, f1_score, support FROM r WHERE label = '1'")
+def report_sampled_tables(spark, sf):
+    return R.sampled_tables(_tables(spark, sf), "1").select("cosine_similarity", "precision", "recall", "f1_score", "support")
 
 
 @query("SELECT o_orderkey, CAST('0x' || substr(md5(concat_ws('#', o_orderkey, 42)), 1, 8) AS BIGINT) % 100 < 80 AS train FROM orders")
 def train_test_split(spark, sf):
     train, test = L.hash_split(t(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
     return train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))
+
+
+# --- rows, vectors and orders
+
+
+@query(" UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, {k} AS pos, {c} AS x FROM lineitem" for k, c in enumerate(_NUMERIC)))
+def row_vectors(spark, sf):
+    return L.row_vector(t(spark, sf, "lineitem"), _NUMERIC).select("l_orderkey", "l_linenumber", F.posexplode("vector").alias("pos", "x"))
+
+
+@query("""WITH v AS (SELECT 'N' || vec_id AS c, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.c AS c1, b.c AS c2, (n.n_regionkey = 1)::INT AS label, len(a.e || b.e) AS size, round(list_sum(a.e), 4) AS left_sum, round(list_sum(b.e), 4) AS right_sum
+ FROM v a JOIN v b ON a.c <> b.c JOIN nation n ON 'N' || n.n_nationkey = a.c JOIN nation o ON 'N' || o.n_nationkey = b.c""")
+def pair_vectors(spark, sf):
+    n = t(spark, sf, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("concept"), "n_regionkey")
+    v = t(spark, sf, "embeddings").select(F.concat(F.lit("N"), "vec_id").alias("concept"), F.col("embedding").alias("vector"))
+    x = L.pair_vectors(L.ordered_pairs(n, "n_regionkey"), v)
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, y: s + y), 4)
+    half = (F.size("vector") / 2).cast("int")
+    return x.select("c1", "c2", "label", F.size("vector").cast("long").alias("size"), total(F.slice("vector", F.lit(1), half)).alias("left_sum"), total(F.slice("vector", half + 1, half)).alias("right_sum"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat_ws('#', o_orderkey, 42)), o_orderkey) AS position FROM orders")
+def shuffle(spark, sf):
+    return storage.shuffled(t(spark, sf, "orders").select("o_orderkey"), 42, "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5")
+def head(spark, sf):
+    return storage.first_rows(t(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 5, "o_orderkey")
+
+
+# --- tables through files
+
+
+@query(f"WITH {B.REFERENCE_SQL} SELECT src AS \"SrcEntity\", tgt AS \"TgtEntity\", score::DOUBLE AS \"Score\", (score = 1)::INT AS \"Label\" FROM ref")
+def alignment_file(spark, sf):
+    path = f"{storage.shared_folder(spark)}/alignment"
+    B.reference(spark, sf).write.option("sep", "\t").option("header", True).csv(path)
+    return files.read_alignment(spark, path)
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def csv_file(spark, sf):
+    path = f"{storage.shared_folder(spark)}/csv"
+    files.write_csv(t(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), path)
+    return files.read_csv(spark, path, "p_partkey long, p_name string, p_size int, p_retailprice double")
+
+
+@query("SELECT md5(n_name || chr(10)) AS content FROM nation")
+def text_files(spark, sf):
+    path = f"{storage.shared_folder(spark)}/texts"
+    t(spark, sf, "nation").select("n_nationkey", "n_name").coalesce(1).write.partitionBy("n_nationkey").text(path)
+    return files.read_texts(spark, path).select(F.md5("value").alias("content"))
+
+
+def _owl_files(spark, sf) -> str:
+    """A folder with an RDF/XML file for each nation."""
+    path = f"{storage.shared_folder(spark)}/owl"
+    t(spark, sf, "nation").select("n_nationkey", F.format_string(_OWL, "n_nationkey", "n_name", "n_regionkey", "n_nationkey").alias("value")).coalesce(1).write.partitionBy("n_nationkey").text(path)
+    return path
+
+
+@query("SELECT 'N' || n_nationkey AS concept, lower(n_name) || '|synonym ' || n_nationkey AS labels, 'R' || n_regionkey AS parent FROM nation")
+def rdf_files(spark, sf):
+    x = rdf.read_rdf_xml(spark, _owl_files(spark, sf))
+    return rdf.labels(x).select("concept", F.array_join("labels", "|").alias("labels")).join(rdf.hierarchy(x).select(F.col("child").alias("concept"), "parent"), "concept")
+
+
+@query("""SELECT '<N' || n_nationkey || '> <http://www.w3.org/2000/01/rdf-schema#subClassOf> <R' || n_regionkey || '> .' AS line FROM nation
+ UNION ALL SELECT '<N' || n_nationkey || '> <http://www.w3.org/2000/01/rdf-schema#label> "' || n_name || '" .' FROM nation""")
+def graph_file(spark, sf):
+    path = f"{storage.shared_folder(spark)}/graph"
+    x = _triples(spark, sf)
+    files.write_graph(x.filter(F.col("p").isin(rdf.iri.SUBCLASS, rdf.iri.LABEL)), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("SELECT 'N' || n_nationkey AS s, min(n_name) AS o FROM nation GROUP BY 1")
+def triple_value(spark, sf):
+    return rdf.value(_triples(spark, sf), rdf.iri.LABEL)
+
+
+@query(f"WITH {B.EDGES_SQL} SELECT (SELECT count(*) FROM (SELECT child FROM edges UNION SELECT parent FROM edges))::BIGINT AS nodes, (SELECT count(*) FROM edges)::BIGINT AS edges")
+def graph_counts(spark, sf):
+    e = B.edges(spark, sf)
+    return H.nodes(e).agg(F.count(F.lit(1)).alias("nodes")).crossJoin(e.distinct().agg(F.count(F.lit(1)).alias("edges")))  # one row each

@@ -83,7 +83,7 @@ def test_provenance(spark, tmp_path):
     pool = spark.createDataFrame([("known", "en"), ("B", "en")], "term string, language_tag string")
     labels, events = files.provenance(new, pool, ["greekchars"], "e:1", '"d"')
     got = labels.collect()
-    assert len(got) == 2 and events.count() == 2 and all(len(r.label_uri) == len("elsvoc:Label-") + 30 for r in got)
+    assert len(got) == 2 and events.count() == 2 and all(len(r.label_uri) == len("label:") + 30 for r in got)
     assert any('"b\\"q"@en' in r.turtle for r in got)
     assert files.store_normalization(new, pool, ["greekchars"], "e:1", '"d"', str(tmp_path)) == "stored"
     assert files.store_normalization(new.filter("language_tag = 'en' AND transformed_term = 'known'"), pool, [], "e", "d", str(tmp_path)) == "No new terms to be transformed."
