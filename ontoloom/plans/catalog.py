@@ -193,10 +193,10 @@ def topk_cosine(spark, sf):
 
 @query(_LABELED + f""", {B.VECTORS_SQL}, lab AS (SELECT concept, {B.norm_sql("label")} AS l FROM source UNION ALL SELECT concept, {B.norm_sql("label")} FROM target),
  q AS (SELECT l.src, l.tgt, l.label, x.l AS l1, y.l AS l2 FROM labeled l JOIN vec a ON a.concept = l.src JOIN vec b ON b.concept = l.tgt JOIN lab x ON x.concept = l.src JOIN lab y ON y.concept = l.tgt WHERE {B.cosine_sql("a.embedding", "b.embedding")} >= 0.05),
- {B.partial_sql("q")} SELECT src, tgt, label FROM q JOIN partial USING (l1, l2) WHERE ratio >= 65""")
+ {B.partial_sql("q")} SELECT src, tgt, label FROM q JOIN partial USING (l1, l2) WHERE ratio >= 75""")
 def threshold_select(spark, sf):
     labels = C.merge_labels(B.source(spark, sf), B.target(spark, sf))
-    return C.select_pairs(_labeled(spark, sf), labels.join(B.vectors(spark, sf), "concept"), 65.0, 0.05)
+    return C.select_pairs(_labeled(spark, sf), labels.join(B.vectors(spark, sf), "concept"), 75.0, 0.05)
 
 
 @query(f"""WITH {B.SOURCE_SQL}, {B.TARGET_SQL}, {B.VECTORS_SQL}, c AS (SELECT a.concept AS src, b.concept AS tgt, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS cosine FROM vec a, vec b WHERE a.concept IN (SELECT concept FROM source) AND b.concept IN (SELECT concept FROM target)),
