@@ -42,7 +42,7 @@ DIGEST = 16
 REMEMBERED = 500_000
 PACK_BYTES = 128 << 20
 #: About so many recipes, picked by a hash, show which chunks are hot.
-HOT_SAMPLE = 200_000
+HOT_SAMPLE = 20_000
 _BASE = 0x9E3779B97F4A7C15
 
 
