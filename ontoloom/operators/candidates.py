@@ -1,6 +1,8 @@
 """Candidate pairs: blocking by shared tokens, siblings, nearest vectors; sampling, labelling and thresholds.
 
-Samples are ordered by an md5 of the pair and a seed, so they are the same on every run and every layout.
+Samples are ordered by md5 digests of concepts and a seed, so they are the same on every run and every layout.
+Negatives of a positive are the candidates that follow its own place on a ring of digests, so they can be looked
+up and needn't be listed.
 """
 
 from __future__ import annotations
@@ -14,14 +16,21 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from .hierarchy import siblings
+from .hierarchy import ancestors, dag
 from .storage import first_rows, written
 
+RING = 1 << 60
+
 
 def sample_key(*cols: str, seed: int) -> Column:
     return F.md5(F.concat_ws("#", *cols, F.lit(seed)))
 
 
+def ring_place(*cols: str, seed: int) -> Column:
+    """A place on the ring, from 0 to RING - 1, by the first 15 hex digits of an md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("#", *cols, F.lit(seed))), 1, 15), 16, 10).cast("long")
+
+
 def all_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
     """Every pair (src, tgt) of two tables of concepts. Quadratic by its meaning; blocking is the way for large sides."""
     return source.select(F.col("concept").alias("src")).crossJoin(target.select(F.col("concept").alias("tgt")))
@@ -43,11 +52,18 @@ def shared_token_counts(source: DataFrame, target: DataFrame, max_token_df: int
 
 
 def blocked_topk(source: DataFrame, target: DataFrame, k: int) -> DataFrame:
-    """(src, tgt, shared, jaccard, rank): of the targets that share a token, the k of greatest Jaccard for each source."""
-    shared = shared_token_counts(source, target)
-    n = lambda labels, name, out: token_index(labels).groupBy(F.col("concept").alias(name)).agg(F.count(F.lit(1)).alias(out))
-    sized = shared.join(n(source, "src", "ns"), "src").join(n(target, "tgt", "nt"), "tgt")
-    scored = sized.select("src", "tgt", "shared", F.round(F.col("shared") / (F.col("ns") + F.col("nt") - F.col("shared")), 6).alias("jaccard"))
+    """(src, tgt, shared, jaccard, rank): of the targets that share a token, the k of greatest Jaccard for each source.
+
+    Tables have a row for each concept. A token carries the size of its set, so each side is read once and only
+    counts by pair are shuffled after the join; of these a task keeps k for each source before the ranks are merged.
+    """
+
+    def sized(labels: DataFrame, name: str, size: str) -> DataFrame:
+        sets = labels.select(F.col("concept").alias(name), X.tokens(X.normalize(X.join_labels(F.col("labels")))).alias("t"))
+        return sets.select(name, F.size("t").alias(size), F.explode("t").alias("token"))
+
+    pairs = sized(source, "src", "ns").join(sized(target, "tgt", "nt"), "token").groupBy("src", "tgt", "ns", "nt").agg(F.count(F.lit(1)).cast("int").alias("shared"))
+    scored = pairs.select("src", "tgt", "shared", F.round(F.col("shared") / (F.col("ns") + F.col("nt") - F.col("shared")), 6).alias("jaccard"))
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("jaccard"), "tgt"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -57,32 +73,60 @@ def positives(reference: DataFrame) -> DataFrame:
     return reference.filter(F.coalesce(F.col("Score") == 1.0, F.lit(False))).select(F.col("SrcEntity").alias("src"), F.col("TgtEntity").alias("tgt"), F.lit(1).alias("label"))
 
 
-def _sampled(candidates: DataFrame, n: int, seed: int) -> DataFrame:
-    """At most n rows of (src, true_tgt, tgt) for each positive."""
-    rank = F.row_number().over(Window.partitionBy("src", "true_tgt").orderBy(sample_key("src", "true_tgt", "tgt", seed=seed), "tgt"))
-    return candidates.withColumn("rank", rank).filter(F.col("rank") <= n)
-
-
 def _negatives(sampled: DataFrame, reference: DataFrame) -> DataFrame:
     """Sampled pairs that aren't in the reference, whatever their score there; a bag."""
     known = reference.select(F.col("SrcEntity").alias("src"), F.col("TgtEntity").alias("tgt")).distinct()
     return sampled.select("src", "tgt").join(known, ["src", "tgt"], "left_anti").withColumn("label", F.lit(0))
 
 
+def draw(asked: DataFrame, members: DataFrame, n: int, seed: int) -> DataFrame:
+    """(src, true_tgt, tgt): of the members of a positive's groups the n that follow its place on the ring, and more.
+
+    asked(src, true_tgt, group, spare) has a row for each group of a positive; members(group, tgt) may repeat. From
+    each group come the first n + spare members, so after spare exclusions the first n of all groups are among the
+    rows. No group is listed for a positive: members and positives are sorted together by range partitions, which
+    cut large groups; a positive's place among the members is a running count, and what follows is looked up there.
+    """
+    null = F.lit(None).cast("string")
+    ringed = members.distinct().select("group", ring_place("tgt", seed=seed).alias("at"), F.lit(1).alias("member"), "tgt", null.alias("src"), null.alias("true_tgt"), F.lit(0).cast("long").alias("spare"))
+    places = asked.select("group", ring_place("src", "true_tgt", seed=seed).alias("at"), F.lit(0).alias("member"), null.alias("tgt"), "src", "true_tgt", F.col("spare").cast("long").alias("spare"))
+    order = ("at", "member", "tgt", "src", "true_tgt")
+    cut = written(ringed.unionByName(places).repartitionByRange("group", *order).withColumn("part", F.spark_partition_id()), "ring")
+    cells = cut.groupBy("group", "part").agg(F.sum("member").alias("c"))
+    whole = Window.partitionBy("group")  # a row for each partition that the group lies in
+    cells = cells.select("group", "part", (F.sum("c").over(whole.orderBy("part")) - F.col("c")).alias("base"), F.sum("c").over(whole).alias("size"))
+    before = F.sum("member").over(Window.partitionBy("group", "part").orderBy(*order)) - F.col("member") + F.col("base")
+    placed = written(cut.join(cells, ["group", "part"]).withColumn("idx", before), "placed")
+    ahead = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("size"), F.lit(n) + F.col("spare")) - 1))
+    wanted = placed.filter("member = 0 AND size > 0").select("src", "true_tgt", "group", "idx", "size", ahead.alias("k")).select("src", "true_tgt", "group", F.pmod(F.col("idx") + F.col("k"), F.col("size")).alias("idx"))
+    return wanted.join(placed.filter("member = 1").select("group", "idx", "tgt"), ["group", "idx"]).select("src", "true_tgt", "tgt").distinct()
+
+
+def _followers(candidates: DataFrame, n: int, seed: int) -> DataFrame:
+    """The first n rows of (src, true_tgt, tgt) after each positive's place on the ring."""
+    distance = F.pmod(ring_place("tgt", seed=seed) - ring_place("src", "true_tgt", seed=seed), F.lit(RING))
+    rank = F.row_number().over(Window.partitionBy("src", "true_tgt").orderBy(distance, "tgt"))
+    return candidates.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
 def idf_negatives(reference: DataFrame, source: DataFrame, target: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
-    """For each positive, at most n targets that share a token with its source."""
+    """For each positive, at most n targets that share a token with its source; fewer only where there are no more."""
     pos = positives(reference).select("src", F.col("tgt").alias("true_tgt")).distinct()
-    s = token_index(source).withColumnRenamed("concept", "src").join(pos.select("src").distinct(), "src", "left_semi")
-    t = token_index(target).withColumnRenamed("concept", "tgt")
-    shared = s.join(t, "token").select("src", "tgt").distinct()
-    return _negatives(_sampled(pos.join(shared, "src").filter("tgt <> true_tgt"), n, seed), reference)
+    asked = pos.join(token_index(source).select(F.col("concept").alias("src"), F.col("token").alias("group")), "src").withColumn("spare", F.lit(1))
+    members = token_index(target).select(F.col("token").alias("group"), F.col("concept").alias("tgt"))
+    return _negatives(_followers(draw(asked, members, n, seed).filter("tgt <> true_tgt"), n, seed), reference)
 
 
 def neighbour_negatives(reference: DataFrame, edges: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
-    """C4: for each positive, at most n siblings of its target."""
+    """C4: for each positive, at most n siblings of its target, none of them an ancestor; fewer only where there are no more."""
+    e = dag(edges)
     pos = positives(reference).select("src", F.col("tgt").alias("true_tgt")).distinct()
-    near = siblings(pos.select(F.col("true_tgt").alias("concept")), edges).select(F.col("concept").alias("true_tgt"), F.col("sibling").alias("tgt"))
-    return _negatives(_sampled(pos.join(near, "true_tgt"), n, seed), reference)
+    above = written(ancestors(e, pos.select(F.col("true_tgt").alias("node"))).select(F.col("node").alias("true_tgt"), F.col("ancestor").alias("tgt")), "above")
+    spare = above.groupBy("true_tgt").agg((F.count(F.lit(1)) + 1).alias("spare"))
+    asked = pos.join(e.select(F.col("child").alias("true_tgt"), F.col("parent").alias("group")), "true_tgt").join(spare, "true_tgt")
+    members = e.select(F.col("parent").alias("group"), F.col("child").alias("tgt"))
+    others = draw(asked, members, n, seed).filter("tgt <> true_tgt").join(above, ["true_tgt", "tgt"], "left_anti")
+    return _negatives(_followers(others, n, seed), reference)
 
 
 def pairs_with_negatives(reference: DataFrame, source: DataFrame, target: DataFrame, edges: DataFrame, idf: int = 50, neighbour: int = 50, seed: int = 42) -> DataFrame:
@@ -99,7 +143,7 @@ def hop_negatives(reference: DataFrame, edges: DataFrame, max_hops: int = 5, n:
         nxt = frontier.join(both.select(F.col("child").alias("tgt"), F.col("parent").alias("next")), "tgt").select("true_tgt", F.col("next").alias("tgt")).distinct()
         frontier = written(nxt.join(seen, ["true_tgt", "tgt"], "left_anti"), "hops")
         seen = seen.unionByName(frontier)
-    return _negatives(_sampled(pos.join(seen.filter("true_tgt <> tgt"), "true_tgt"), n, seed), reference)
+    return _negatives(_followers(pos.join(seen.filter("true_tgt <> tgt"), "true_tgt"), n, seed), reference)
 
 
 def label_pairs(pairs: DataFrame, matches: DataFrame) -> DataFrame:

@@ -109,7 +109,8 @@ def token_blocking(spark, sf):
     return C.shared_token_counts(B.source(spark, sf), B.target(spark, sf))
 
 
-_SAMPLED = "row_number() OVER (PARTITION BY src, true_tgt ORDER BY md5(concat_ws('#', src, true_tgt, tgt, '42')), tgt) AS k"
+_RING = "('0x' || substr(md5(concat_ws('#', {}, '42')), 1, 15))::BIGINT"
+_SAMPLED = f"row_number() OVER (PARTITION BY src, true_tgt ORDER BY ({_RING.format('tgt')} - {_RING.format('src, true_tgt')} + {C.RING}) % {C.RING}, tgt) AS k"
 _ANTI = "WHERE k <= 50 AND NOT EXISTS (SELECT 1 FROM ref r WHERE r.src = x.src AND r.tgt = x.tgt)"
 _IDF = f"""idf AS (SELECT src, tgt, 0 AS label FROM (SELECT *, {_SAMPLED} FROM (SELECT DISTINCT p.src, p.tgt AS true_tgt, d.tgt FROM pos p
  JOIN (SELECT concept AS src, unnest({B.tokens_sql(B.norm_sql("label"))}) AS token FROM source) s ON s.src = p.src

@@ -101,6 +101,19 @@ def test_negatives_keep_their_promises(spark):
     assert rows(C.idf_negatives(ref.filter("false"), source, target)) == []
 
 
+@pytest.mark.parametrize("n, seed", [(1, 1), (5, 2), (40, 3), (500, 4)])
+def test_draw_finds_what_listing_all_members_finds(spark, n, seed):
+    """Overlapping groups, one of them with most members; members are more and fewer than n."""
+    member_rows = [("hot", f"m{i}") for i in range(300)] + [("mid", f"m{i}") for i in range(290, 330)] + [("one", "x")] + [("hot", "m0")]
+    asked_rows = [(f"s{i}", f"m{i}", g, 1) for i in range(60) for g in ("hot", "mid", "one", "none")[i % 3 :]]
+    members, asked = spark.createDataFrame(member_rows, "group string, tgt string"), spark.createDataFrame(asked_rows, "src string, true_tgt string, group string, spare int")
+    listed = asked.join(members, "group").select("src", "true_tgt", "tgt").distinct().filter("tgt <> true_tgt")
+    drawn = C.draw(asked, members, n, seed).filter("tgt <> true_tgt")
+    want = rows(C._followers(listed, n, seed).drop("rank"))
+    assert rows(C._followers(drawn, n, seed).drop("rank")) == want and drawn.exceptAll(listed).isEmpty()
+    assert C.draw(asked.filter("false"), members, n, seed).isEmpty() and C.draw(asked, members.filter("false"), n, seed).isEmpty()
+
+
 def test_labelling_and_sampling(spark):
     pairs = spark.createDataFrame([("b", "a"), ("a", "c"), ("x", "y"), ("y", "z"), ("z", "w")], "src string, tgt string")
     lab = C.label_pairs(pairs, spark.createDataFrame([("a", "b")], "src string, tgt string"))
