@@ -31,7 +31,7 @@ from .common import id_text
 DEFAULT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 DEFAULT_PATTERN = public_tokenizers.PATTERN
 #: Entries of one generation of a cache, of which two are kept (about 0.25 KB an entry), and the longest text that is one.
-CACHE_SIZE, LONGEST = 250_000, 48
+CACHE_SIZE, LONGEST = 125_000, 48
 #: Signs that are a match of their own after a word, unless more of their kind follow.
 SIGNS = (".", ",", ";", ":", "!", "?", ")")
 _M64 = (1 << 64) - 1
