@@ -1,10 +1,14 @@
 """Queries do the operators' whole job: no fewer seeds, hops or rows than asked for."""
 
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline as cp
 from ontoloom.operators import candidates as C
+from ontoloom.operators import hierarchy as H
 from ontoloom.operators import learning as L
+from ontoloom.operators import storage
 from ontoloom.plans import bindings as B
 from ontoloom.plans import catalog
 
@@ -54,3 +58,27 @@ def test_kmeans_labels_rows_without_terms(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_items", lambda spark, sf: docs)
     got = {r.id: r.cluster for r in catalog.QUERIES["kmeans"](spark, "").collect()}
     assert set(got) == set(range(9)) and len({got[6], got[7], got[8]}) == 1
+
+
+def test_product_of_cut_groups_is_the_join(spark, monkeypatch):
+    monkeypatch.setattr(storage, "CELL", (2, 3))
+    a = spark.createDataFrame([(k, None if k == 9 else "xyz"[k % 3 // 2], {"m": k}) for k in range(20)], "a int, key string, more map<string,int>")
+    b = spark.createDataFrame([(k, None if k == 8 else "xyz"[k % 5 // 2]) for k in range(40)] + [(1, "x")], "b int, key string")
+    rows = lambda df: sorted((r.a, r.b, r.key, r.more["m"]) for r in df.collect())
+    assert rows(storage.product(a, b, "key")) == rows(a.join(b, "key")) != []
+
+
+def test_shared_tokens_are_counted_by_classes(spark, monkeypatch):
+    monkeypatch.setattr(storage, "CELL", (2, 3))
+    side = lambda p, n, extra: [(f"{p}{k}", [f"{p}{k % 7} n{k}", f"all k{k % 4}"]) for k in range(n)] + extra
+    a = side("s", 12, [(None, ["all x"]), ("s1", ["n1 all"]), ("s99", ["n2"]), ("s98", ["nowhere"])])
+    b = side("t", 30, [(None, ["n3 x"]), ("t5", ["n5 k1"]), ("t99", ["n2 n4"])])
+    want = Counter()
+    for s, x in a:
+        for t, y in b:
+            if n := len(set(" ".join(x).split()) & set(" ".join(y).split())):
+                want[s, t] += n
+    df = lambda data: spark.createDataFrame(data, "concept string, labels array<string>")
+    for often in (0, 2, 5, 1000):
+        got = C.shared_token_counts(df(a), df(b), often=often).collect()
+        assert len(got) == len(want) and {(r.src, r.tgt): r.shared for r in got} == want
